@@ -8,6 +8,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +47,11 @@ def utf8(column: str = "text"):
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
+def struct_type(**fields: T.DataType) -> T.StructType:
+    """Needs no session, unlike a type written as a string."""
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
 def struct_array(names: list[str], columns: list[list], types: list[pa.DataType]) -> pa.StructArray:
     return pa.StructArray.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=names)
 
