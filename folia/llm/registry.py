@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["bpe", "secrets", "rules", "html_text", "sharding"]
+MODULES = ["minhash", "bpe", "secrets", "rules", "html_text", "sharding"]
 
 
 def collect() -> tuple[dict, dict]:
