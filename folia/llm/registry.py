@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["minhash", "bpe", "secrets", "rules", "html_text", "sharding"]
+MODULES = ["decontaminate", "minhash", "quality", "bpe", "secrets", "rules", "html_text", "sharding"]
 
 
 def collect() -> tuple[dict, dict]:
