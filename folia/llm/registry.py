@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["decontaminate", "minhash", "substrings", "quality", "bpe", "secrets", "rules", "html_text", "sharding"]
+MODULES = ["decontaminate", "minhash", "substrings", "quality", "bpe", "maxent", "secrets", "rules", "html_text", "sharding"]
 
 
 def collect() -> tuple[dict, dict]:
