@@ -6,10 +6,11 @@ candidate's similarity is estimated by bit counts, corrected for lanes that agre
 chance, and those that may be similar are confirmed on the full sets.
 
 Texts of equal sets are one node, so copies are never compared. In a band's bucket each node
-is compared with the least one; then, in buckets that still hold several components, nodes of
-different components are compared with each other. So no pair that shares a bucket goes
-unsettled, and a bucket of near copies costs as many pairs as it has nodes. At a similarity of
-0.8 a pair shares no bucket with a chance of (1 - 0.8**5)**32 = 3e-6.
+is compared with the best-connected one, then, if the bucket still holds several components,
+with a few others, and at last those of different components with each other, if the bits
+allow it. So no pair that shares a bucket goes unsettled, and a bucket of near copies costs
+about as many pairs as it has nodes. At a similarity of 0.8 a pair shares no bucket with a
+chance of (1 - 0.8**5)**32 = 3e-6, and is estimated below MAYBE with one of 1e-5.
 
 Null, empty and word-less texts have the empty set and are linked with nothing. Fewer words
 than a shingle are one shingle. Rows without a doc_id are never linked: component_id is null
@@ -29,11 +30,14 @@ from folia.llm.common import slices, stored, struct_array, struct_type, table, u
 from folia.llm.graph import components
 
 BANDS, ROWS = 32, 5
-HASHES = BANDS * ROWS
+#: Minima of a text; the first BANDS * ROWS make bands, all leave their low bits.
+HASHES = 512
 LANES = 32  # of two bits in a long
 LONGS = HASHES // LANES
-#: Candidates estimated below this are not confirmed; at 0.8 the estimate deviates by 0.04.
-MAYBE = 0.55
+#: Candidates estimated below this are not confirmed; at 0.8 the estimate deviates by 0.021.
+MAYBE = 0.71
+#: Nodes of a bucket that the others meet before all of them do.
+GUESTS = 4
 CHANCE = 0.25  # that lanes of two bits agree
 
 _rng = np.random.default_rng(20)
@@ -43,7 +47,7 @@ _PLACES = _rng.integers(0, 1 << 63, 16, dtype=np.uint64) << np.uint64(1) | np.ui
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SHIFTS = 2 * np.arange(LANES, dtype=np.uint64)
 #: Shingles hashed at once.
-SPAN = 1 << 12
+SPAN = 1 << 10
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -86,7 +90,7 @@ def packed(least: np.ndarray) -> list[int]:
 
 
 def band_keys(least: np.ndarray) -> list[int]:
-    rows = least.astype(np.uint64).reshape(BANDS, ROWS)
+    rows = least[: BANDS * ROWS].astype(np.uint64).reshape(BANDS, ROWS)
     h = (rows * _PLACES[:ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _PLACES[8]
     return _mixed(h).view(np.int64).tolist()
 
@@ -126,46 +130,60 @@ def estimate(a: Column, b: Column) -> Column:
     return ((1 - differ / HASHES) - CHANCE) / (1 - CHANCE)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, bits: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of nodes, those of ``percent`` similarity on full sets, as edges."""
-    left, right = bits.select(F.col("id").alias("a"), F.col("bits").alias("bits_a")), bits.select(F.col("id").alias("b"), F.col("bits").alias("bits_b"))
-    pairs = pairs.join(left, "a").join(right, "b").filter(estimate(F.col("bits_a"), F.col("bits_b")) >= MAYBE)
-    pairs = stored(pairs.select("a", "b").distinct(), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), _sets(size)(utf8()).alias("s"))
-    sets = stored(sets, "sets")
-    met = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("s")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("t")), "b")
+def _confirmed(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those of ``percent`` similarity on full sets, as edges. nodes: (id, bits, s)."""
+    left, right = nodes.select(F.col("id").alias("a"), F.col("bits").alias("bits_a")), nodes.select(F.col("id").alias("b"), F.col("bits").alias("bits_b"))
+    likely = pairs.join(left, "a").join(right, "b").filter(estimate(F.col("bits_a"), F.col("bits_b")) >= MAYBE).select("a", "b").distinct()
+    met = likely.join(nodes.select(F.col("id").alias("a"), "s"), "a").join(nodes.select(F.col("id").alias("b"), F.col("s").alias("t")), "b")
     common = F.size(F.array_intersect("s", "t"))
     alike = common * 100 >= (F.size("s") + F.size("t") - common) * percent
     return met.filter(alike & (common > 0)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _placed(members: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(components of the edges, rows (key, id, c) of the buckets that hold several components)."""
+    found = stored(components(edges), "components")
+    rows = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    mixed = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("key")
+    return found, stored(rows.join(mixed, "key"), "mixed")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row; size: words of a shingle, percent: least similarity of a link."""
     docs = docs.select("doc_id", F.col(text).alias("text"))
     all_rows = stored(docs.select("doc_id", _signature(size)(utf8()).alias("g")).select("doc_id", "g.*"), "signatures")
     rows = all_rows.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    nodes = rows.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"))
-    own = rows.withColumnRenamed("doc_id", "id").join(nodes, ["d1", "d2", "id"], "left_semi")
-    own = stored(own.select("id", "bands", "bits"), "nodes")
+    reps = rows.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"))
+    own = rows.withColumnRenamed("doc_id", "id").join(reps, ["d1", "d2", "id"], "left_semi")
     keys = own.select("id", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least != most").select("key", "least")
+    buckets = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n")).filter("least != most").select("key", "n")
     members = stored(keys.join(buckets, "key"), "members")
-    stars = members.filter("id != least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    edges = stored(_confirmed(stars, docs, own, size, percent), "links")
-    found = stored(components(edges), "components")
-    # Buckets that hold more than one component: their nodes of different components meet.
-    placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("key")
-    placed = stored(placed.join(mixed, "key").join(own.select("id", "bits"), "id"), "mixed")
-    left = placed.select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("bits").alias("bits_a"))
-    right = placed.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("bits").alias("bits_b"))
+    degrees = members.groupBy("id").agg(F.sum("n").alias("degree"))
+    # Full sets of the texts that share a bucket with another.
+    sets = docs.join(degrees.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), _sets(size)(utf8()).alias("s"))
+    nodes = stored(sets.join(own.select("id", "bits"), "id"), "sets")
+    # Each node meets its bucket's best-connected one, which is likely the text that others are copies of.
+    met = members.join(degrees, "id")
+    leaders = met.groupBy("key").agg(F.max(F.struct("degree", -F.col("id"))).alias("m")).select("key", (-F.col("m.col2")).alias("a"))
+    stars = members.join(leaders, "key").filter("id != a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    edges = stored(_confirmed(stars, nodes, percent), "links")
+    _, mixed = _placed(members.select("key", "id"), edges)
+    # Where a bucket still holds several components, each node meets a few others at random ...
+    some = mixed.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(k)), "id", "c")).alias(f"m{k}") for k in range(GUESTS)])
+    some = some.select("key", F.explode(F.array(*[F.struct(F.col(f"m{k}.id").alias("a"), F.col(f"m{k}.c").alias("ca")) for k in range(GUESTS)])).alias("m"))
+    some = some.select("key", "m.*").distinct()
+    guests = mixed.join(some, "key").filter("c != ca").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    edges = stored(edges.unionByName(_confirmed(guests, nodes, percent)), "links")
+    found, mixed = _placed(mixed.select("key", "id"), edges)
+    # ... and then, where components are left apart, all nodes of other components that the bits allow.
+    mixed = stored(mixed.join(nodes.select("id", "bits"), "id"), "apart")
+    left = mixed.select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("bits").alias("bits_a"))
+    right = mixed.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("bits").alias("bits_b"))
     apart = left.join(right, "key").filter((F.col("ca") < F.col("cb")) & (estimate(F.col("bits_a"), F.col("bits_b")) >= MAYBE)).select("a", "b").distinct()
-    apart = apart.join(stars, ["a", "b"], "left_anti")
-    more = stored(_confirmed(apart, docs, own, size, percent), "links")
+    more = stored(_confirmed(apart, nodes, percent), "links")
     if not more.isEmpty():
         found = stored(components(edges.unionByName(more)), "components")
-    of_set = nodes.join(found.withColumnRenamed("node", "id"), "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("c"))
+    of_set = reps.join(found.withColumnRenamed("node", "id"), "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("c"))
     result = all_rows.select("doc_id", "n", "d1", "d2").join(of_set, ["d1", "d2"], "left")
     c = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id")))
     return result.select("doc_id", F.col("n").alias("n_shingles"), c.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
