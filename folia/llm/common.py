@@ -34,11 +34,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/folia/{name}-{uuid.uuid4().hex}"
 
 
+#: Makes Spark drop a query's shuffle files as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts the lineage, survives lost executors."""
+    """``df`` written to the shared folder and read again: cuts the lineage, survives lost executors.
+
+    The shuffle files of the work that is written are of no more use, and are dropped at once.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -15,13 +15,13 @@ offsets. The windows of one anchor are a run of bytes, its context.
    packed arrays. An anchor of one document is done. Among equal contexts, those of all but
    the least document are repeats as they are. What is left, the least document's context of
    each anchor with several contexts, goes back to its document to be refined.
-2. Documents make the LENGTH-byte identifiers of those contexts' windows; the least document of
-   each window is found by an aggregation, and the window repeats in the other documents.
+2. Documents make the LENGTH-byte identifiers of those contexts' windows, which are sent by
+   identifier as packed arrays too; a window repeats in all documents but the least.
 3. Documents drop the bytes that repeats cover.
 
-A task holds entries of its own share of anchors, whatever their number of copies: equal
-(anchor, context) pairs within a task of step 1 are sent once, with the least document, and
-the others are known to repeat at once. Windows are matched by 64-bit identifiers, of which
+A task holds entries of its own share of anchors or windows, whatever their number of copies:
+of those that are equal within a sending task only the least document's is sent to be matched,
+as the others are known to repeat at once. Windows are matched by 64-bit identifiers, of which
 among 10**12 different ones a false match has a chance of 3% in all.
 
 A null text is the empty one. Rows without a doc_id neither lose bytes nor cause others to;
@@ -209,7 +209,7 @@ def _settled(batches):
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "keys", "chains", "whole"])
 
 
-FOUND = "doc_id long, tag binary, spans binary, starts binary, windows binary"
+FOUND = "doc_id long, tag long, spans binary, part int, table binary, at binary, starts binary, windows binary, done binary"
 
 
 def _per_document(batches):
@@ -229,67 +229,123 @@ def _per_document(batches):
         yield now, rows
 
 
-def _refined(batches):
-    """Spans of contexts that repeat, and windows of those to be refined, of each document."""
-    unpacker, out = zstandard.ZstdDecompressor(), []
-    size = 0
-    for doc_id, rows in _per_document(batches):
-        back = [r for r in rows if r[1] == 0]
-        if not back:
-            continue
-        key, chain = (np.concatenate([np.frombuffer(r[i], np.uint64) for r in back]) for i in (2, 3))
-        whole = np.concatenate([np.frombuffer(r[4], np.uint8) for r in back]).astype(bool)
-        wanted = refine(key, chain)
-        order = np.lexsort((~whole, wanted))  # rows that repeat a doc_id may bring a context as both
-        wanted, whole = wanted[order], whole[order]
-        for r in rows:
-            if r[1] == 0:
+def _refined(parts: int):
+    def refined(batches):
+        """Spans of contexts that repeat, and packed windows of those to be refined."""
+        unpacker, spans = zstandard.ZstdDecompressor(), []
+        table, at, starts, windows, size = [], [], [], [], 0
+        for doc_id, rows in _per_document(batches):
+            back = [r for r in rows if r[1] == 0]
+            if not back:
                 continue
-            spans, starts, windows = [], [], []
-            b = unpacker.decompress(r[5])
-            for offset, data in _pieces(b):
-                k, c, first, count, window = contexts(data)
-                if not len(k):
+            key, chain = (np.concatenate([np.frombuffer(r[i], np.uint64) for r in back]) for i in (2, 3))
+            whole = np.concatenate([np.frombuffer(r[4], np.uint8) for r in back]).astype(bool)
+            wanted = refine(key, chain)
+            order = np.lexsort((~whole, wanted))  # rows that repeat a doc_id may bring a context as both
+            wanted, whole = wanted[order], whole[order]
+            for r in rows:
+                if r[1] == 0:
                     continue
-                mine = refine(k, c)
-                at = np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)
-                met = wanted[at] == mine
-                hit = met & whole[at]
-                spans.append(np.stack([first[hit] + offset, first[hit] + offset + count[hit] + LENGTH - 1], 1))
-                more = np.nonzero(met & ~whole[at])[0]
-                n = count[more]
-                pos = np.repeat(first[more] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                starts.append(pos + offset)
-                windows.append(window[pos])
-            if not spans:
-                continue
-            span, start, win = np.concatenate(spans), np.concatenate(starts), np.concatenate(windows)
-            if len(span) or len(start):
-                out.append((doc_id, _tag(b), span.astype("<i8").tobytes(), start.astype("<i8").tobytes(), win.tobytes()))
-                size += len(out[-1][2]) + 2 * len(out[-1][3])
-                if size > 1 << 22:
-                    yield _batch(out)
-                    out, size = [], 0
-    if out:
-        yield _batch(out)
+                b = unpacker.decompress(r[5])
+                own = []
+                table.append((doc_id, _tag(b)))
+                for offset, data in _pieces(b):
+                    k, c, first, count, window = contexts(data)
+                    if not len(k):
+                        continue
+                    mine = refine(k, c)
+                    place = np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)
+                    met = wanted[place] == mine
+                    hit = met & whole[place]
+                    own.append(np.stack([first[hit] + offset, first[hit] + offset + count[hit] + LENGTH - 1], 1))
+                    more = np.nonzero(met & ~whole[place])[0]
+                    n = count[more]
+                    pos = np.repeat(first[more] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                    at.append(np.full(len(pos), len(table) - 1, np.uint32))
+                    starts.append((pos + offset).astype(np.int64))
+                    windows.append(window[pos])
+                    size += len(pos)
+                own = covered(np.concatenate(own)) if own else []
+                if len(own):
+                    spans.append((doc_id, _tag(b), own.astype("<i8").tobytes()))
+            if size > 1 << 20 or len(spans) > 4096:
+                yield from _found(spans, table, at, starts, windows, parts)
+                table, at, starts, windows, size, spans = [], [], [], [], 0, []
+        yield from _found(spans, table, at, starts, windows, parts)
+
+    return refined
+
+
+_FOUND = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), *[pa.binary()] * 5]
+
+
+def _found(spans, table, at, starts, windows, parts):
+    """Rows of spans, and rows of windows for each part: numbers of texts in the table, starts, identifiers."""
+    names = [c.split()[0] for c in FOUND.split(", ")]
+    rows = [(*x, *[None] * 6) for x in spans]
+    if sum(map(len, windows)):
+        spot, start, window = np.concatenate(at), np.concatenate(starts), np.concatenate(windows)
+        pairs = np.array(table, np.int64)
+        doc = pairs[spot, 0]
+        part = (window % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((doc, window, part))
+        spot, start, window, doc, part = spot[order], start[order], window[order], doc[order], part[order]
+        new = np.concatenate([[True], window[1:] != window[:-1]])
+        least = doc[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))]
+        done = doc != least  # repeats one of this task: any part may pass it on
+        dealt = np.where(done, (spot % parts).astype(np.int64), part)
+        order = np.argsort(dealt, kind="stable")
+        bounds = np.searchsorted(dealt[order], np.arange(parts + 1))
+        packer = zstandard.ZstdCompressor(level=1)
+        for p in range(parts):
+            o = order[bounds[p] : bounds[p + 1]]
+            if len(o):
+                used, own = np.unique(spot[o], return_inverse=True)
+                packs = [packer.compress(x.tobytes()) for x in (pairs[used], own.astype(np.uint32), start[o], window[o])]
+                rows.append((None, None, None, p, *packs, np.packbits(done[o]).tobytes()))
+    for k in range(0, len(rows), 64):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 64]), _FOUND)], names=names)
 
 
-def _tag(b: bytes) -> bytes:
+def _tag(b: bytes) -> int:
     """Tells apart the texts of rows that repeat a doc_id."""
-    return xxhash.xxh3_64_digest(b)
+    return int.from_bytes(xxhash.xxh3_64_digest(b), "big", signed=True)
 
 
-def _batch(rows):
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), *[pa.binary()] * 4])], names=["doc_id", "tag", "spans", "starts", "windows"])
+HITS = "doc_id long, tag long, starts binary"
 
 
-def _unpacked(batches):
-    """(doc_id, tag, window, start) of each window to be refined."""
+def _matched(batches):
+    """Starts of the windows of a part that a lesser document holds too, by text."""
+    unpacker = zstandard.ZstdDecompressor()
+    docs, tags, starts, windows, known = [], [], [], [], []
     for batch in batches:
-        for doc_id, tag, s, w in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            start, window = np.frombuffer(s, np.int64), np.frombuffer(w, np.int64)
-            tags = np.full(len(start), np.frombuffer(tag, np.int64)[0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), doc_id)), pa.array(tags), pa.array(window), pa.array(start)], names=["doc_id", "tag", "window", "start"])
+        for table, at, start, window, done in zip(*(c.to_pylist() for c in batch.columns)):
+            pairs = np.frombuffer(unpacker.decompress(table), np.int64).reshape(-1, 2)[np.frombuffer(unpacker.decompress(at), np.uint32)]
+            docs.append(pairs[:, 0])
+            tags.append(pairs[:, 1])
+            starts.append(np.frombuffer(unpacker.decompress(start), np.int64))
+            windows.append(np.frombuffer(unpacker.decompress(window), np.uint64))
+            known.append(np.unpackbits(np.frombuffer(done, np.uint8), count=len(starts[-1])).astype(bool))
+    if not docs:
+        return
+    doc, tag, start, window, hit = map(np.concatenate, (docs, tags, starts, windows, known))
+    del docs, tags, starts, windows, known
+    open_ = np.nonzero(~hit)[0]
+    open_ = open_[np.lexsort((doc[open_], window[open_]))]
+    if len(open_):
+        w, d = window[open_], doc[open_]
+        new = np.concatenate([[True], w[1:] != w[:-1]])
+        hit[open_] = d != d[np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))]
+    doc, tag, start = doc[hit], tag[hit], start[hit]
+    order = np.lexsort((start, tag, doc))
+    doc, tag, start = doc[order], tag[order], start[order]
+    first = np.nonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]))[0] if len(doc) else np.empty(0, np.int64)
+    ends = np.append(first[1:], len(doc))
+    for a in range(0, len(first), 8192):
+        f = first[a : a + 8192]
+        packs = [start[i:j].astype("<i8").tobytes() for i, j in zip(f.tolist(), ends[a : a + 8192].tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[f], pa.int64()), pa.array(tag[f], pa.int64()), pa.array(packs, pa.binary())], names=["doc_id", "tag", "starts"])
 
 
 def covered(spans: np.ndarray) -> np.ndarray:
@@ -317,7 +373,8 @@ def _removed(with_text: bool):
                 if r[1] == 0:
                     continue
                 b = unpacker.decompress(r[5])
-                mine = [x for x in rows if x[1] == 0 and x[2] == _tag(b)]
+                own_tag = _tag(b).to_bytes(8, "big", signed=True)
+                mine = [x for x in rows if x[1] == 0 and x[2] == own_tag]
                 spans = [np.frombuffer(x[3], np.int64).reshape(-1, 2) for x in mine if x[3]]
                 starts = [np.frombuffer(x[4], np.int64) for x in mine if x[4]]
                 spans += [np.stack([s, s + LENGTH], 1) for s in starts]
@@ -367,32 +424,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", parts: int | None = None
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(text).alias("b"))
     entries = docs.filter(F.col("doc_id").isNotNull()).mapInArrow(_entries(parts), ENTRIES)
     back = stored(entries.repartition(parts, "part").mapInArrow(_settled, BACK), "repeats")
-    found = stored(_with_texts(docs.filter(F.col("doc_id").isNotNull()), back, parts).mapInArrow(_refined, FOUND), "windows")
-    windows = found.filter(F.octet_length("starts") > 0).select("doc_id", "tag", "starts", "windows").mapInArrow(_unpacked, "doc_id long, tag long, window long, start long")
-    least = windows.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least != most").select("window", "least")
-    hits = windows.join(least, "window").filter(F.col("doc_id") > F.col("least")).select("doc_id", "tag", "start")
-    packed = hits.mapInArrow(_repacked, "doc_id long, tag binary, starts binary")
-    none = F.lit(None).cast("binary")
-    spans = found.filter(F.octet_length("spans") > 0).select("doc_id", "tag", "spans", none.alias("starts"))
-    spans = stored(spans.unionByName(packed.select("doc_id", "tag", none.alias("spans"), "starts")), "spans")
+    texts = docs.filter(F.col("doc_id").isNotNull())
+    found = stored(_with_texts(texts, back, parts).mapInArrow(_refined(parts), FOUND), "windows")
+    windows = found.filter(F.col("part").isNotNull()).repartition(parts, "part").select("table", "at", "starts", "windows", "done")
+    hits = windows.mapInArrow(_matched, HITS)
+    none, tag = F.lit(None).cast("binary"), F.unhex(F.lpad(F.hex("tag"), 16, "0")).alias("tag")
+    spans = found.filter(F.col("spans").isNotNull()).select("doc_id", tag, "spans", none.alias("starts"))
+    spans = stored(spans.unionByName(hits.select("doc_id", tag, none.alias("spans"), "starts")), "spans")
     return _with_texts(docs, spans, parts).mapInArrow(_removed(with_text), RESULT)
 
 
-def _repacked(batches):
-    """Starts of a batch's windows by text."""
-    for batch in batches:
-        doc, tag, start = (batch.column(i).to_numpy() for i in range(3))
-        if not len(doc):
-            continue
-        order = np.lexsort((start, tag, doc))
-        doc, tag, start = doc[order], tag[order], start[order]
-        first = np.nonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]))[0]
-        ends = np.append(first[1:], len(doc))
-        packs = [start[i:j].astype("<i8").tobytes() for i, j in zip(first.tolist(), ends.tolist())]
-        tags = [t.tobytes() for t in tag[first]]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[first], pa.int64()), pa.array(tags, pa.binary()), pa.array(packs, pa.binary())], names=["doc_id", "tag", "starts"])
-
-
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
