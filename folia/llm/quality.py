@@ -18,6 +18,7 @@ null or no 0 or 1 don't count; of several labels of a doc_id each counts.
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 from operator import eq
 
 import numpy as np
@@ -32,22 +33,22 @@ from folia.llm.common import slices, struct_type, table, utf8
 TRAIN_ROWS = 4000
 #: Rows of the table of vectors, their length, and the sizes of the character n-grams.
 BUCKETS, WIDTH, GRAMS = 1 << 17, 12, (2, 3, 4)
-EPOCHS, RATE, SEED = 6, 0.15, 5
+EPOCHS, LEAST_STEPS, RATE, SEED = 6, 12_000, 0.15, 5
 #: Steps of a text's rows are this many times longer, as each has a small weight; weight of repeating n-grams against the words.
 ROW_RATE, REPEAT_WEIGHT = 5, 0.1
 HELD_OUT, FOLDS, ACCEPT = 2, 4, 0.7
 #: Rows of the word n-grams that repeat earlier ones, whatever their words.
 REPEATS = [zlib.crc32(b"repeat %d" % k, 9) % BUCKETS for k in range(3)]
 #: Words of a worker whose numbers are kept.
-KEPT = 500_000
+KEPT = 1_000_000
 
 
 def features(word: bytes) -> list[int]:
     """Rows of a word: its own and those of its n-grams, with marks at its ends."""
     marked = b"<" + word + b">"
-    found = [zlib.crc32(word, 1) % BUCKETS]
+    found, crc = [zlib.crc32(word, 1) & (BUCKETS - 1)], zlib.crc32
     for n in GRAMS:
-        found += [zlib.crc32(marked[i : i + n], n) % BUCKETS for i in range(len(marked) - n + 1)]
+        found += [crc(marked[i : i + n], n) & (BUCKETS - 1) for i in range(len(marked) - n + 1)]
     return found
 
 
@@ -92,8 +93,12 @@ class Model:
     def __init__(self, odds: np.ndarray, bias: float):
         self.odds, self.bias = odds, bias  # of each row's vector for label 1 against 0
 
-    def word(self, w: bytes) -> float:
-        return float(self.odds[features(w)].mean())
+    def words(self, words: list[bytes]) -> list[float]:
+        """Each word's share of the log-odds, of all words at once."""
+        own = [features(w) for w in words]
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        rows = np.fromiter(chain.from_iterable(own), np.int64, int(sizes.sum()))
+        return (np.add.reduceat(self.odds[rows].astype(np.float64), np.cumsum(sizes) - sizes) / sizes).tolist()
 
     def score(self, log_odds: float) -> float:
         return 1 / (1 + np.exp(-log_odds)) if log_odds >= 0 else (e := np.exp(log_odds)) / (1 + e)
@@ -104,8 +109,9 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: list[int]) -> Mode
     rng = np.random.default_rng(SEED)
     vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     out, bias = np.zeros((WIDTH, 2), np.float32), np.zeros(2, np.float32)
-    steps, done = EPOCHS * len(texts), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_STEPS // len(texts)))
+    steps, done = epochs * len(texts), 0
+    for _ in range(epochs):
         for k in rng.permutation(len(texts)).tolist():
             rate = RATE * (1 - done / steps)
             done += 1
@@ -132,11 +138,15 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = TRAI
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
     # At most ``rows`` pairs of numbers are broadcast, and as many texts' rows and weights are collected.
     found = docs.select("doc_id", utf8(text).alias("b")).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", _featured("b").alias("f"))
-    got = sorted(found.toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["quality"]))
-    if not got:
+    got = found.toArrow().combine_chunks()
+    if not len(got):
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
-    texts = [(np.array(r["f"]["rows"], np.int64), np.array(r["f"]["weights"], np.float32)) for r in got]
-    return train(texts, [r["quality"] for r in got])
+    ids, quality, own = got["doc_id"].to_numpy(), got["quality"].to_numpy(), got["f"].combine_chunks()
+    own = own.chunk(0) if isinstance(own, pa.ChunkedArray) else own
+    order = np.lexsort((quality, ids)).tolist()
+    rows, weights = own.field("rows"), own.field("weights")
+    texts = [(rows[k].values.to_numpy(), weights[k].values.to_numpy()) for k in order]
+    return train(texts, quality[order].tolist())
 
 
 def score(spark: SparkSession, model: Model):
@@ -148,15 +158,16 @@ def score(spark: SparkSession, model: Model):
     def scored(texts: pa.Array) -> pa.Array:
         own, out = sent.value, []
         for part in slices(texts):
-            for b in part:
-                words = b.split()
-                for w in set(words).difference(kept):
-                    kept[w] = own.word(w)
+            texts_words = [b.split() for b in part]
+            new = list(set().union(*texts_words).difference(kept))
+            if new:
+                kept.update(zip(new, own.words(new)))
+            for words in texts_words:
                 mean = sum(map(kept.__getitem__, words)) / len(words) if words else 0.0
                 mean += sum(share * own.odds[row] for row, share in zip(REPEATS, repeats(words)) if share)
                 out.append(float(own.score(mean + own.bias)))
-                if len(kept) > KEPT:
-                    kept.clear()
+            if len(kept) > KEPT:
+                kept.clear()
         return pa.array(out, pa.float64())
 
     return scored
