@@ -28,7 +28,7 @@ NONE = 1 << 30
 #: Pieces of more bytes than this get a tree of their own.
 TOGETHER = 64
 #: Kept pieces of a worker, and the bytes of the longest that is kept.
-KEPT, KEPT_BYTES = 600_000, 64
+KEPT, KEPT_BYTES = 200_000, 64
 #: Characters of a text split at once.
 SPAN = 1 << 20
 
@@ -197,7 +197,7 @@ class Tokenizer:
             for part in self._split(text):
                 wait.append((k, part))
                 held += len(part)
-                if held > 4 * SPAN:
+                if held > SPAN:
                     flush()
                     held = 0
         flush()

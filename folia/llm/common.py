@@ -68,7 +68,7 @@ def struct_array(names: list[str], columns: list[list], types: list[pa.DataType]
     return pa.StructArray.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=names)
 
 
-def slices(values: pa.Array, most_bytes: int = 4 << 20, most_rows: int = 4096):
+def slices(values: pa.Array, most_bytes: int = 1 << 20, most_rows: int = 4096):
     """Pieces of an Arrow binary column as lists of bytes, of about ``most_bytes`` each (a longer text stands alone).
 
     Arrow batches hold up to 10,000 rows; Python objects are made only for one piece at a time.
