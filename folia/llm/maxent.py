@@ -47,7 +47,7 @@ START = CONTEXTS + CLASSES
 ROWS1, ROWS2, BLOCK = 1 << 15, 1 << 16, 1 << 10
 ROUNDS, BATCH, RATE, EPSILON = 3, 4096, 0.35, 1e-3
 #: Distinct words a task counts before it sends them on.
-COUNTED = 1 << 19
+COUNTED = 1 << 18
 END = b""
 
 

@@ -40,7 +40,7 @@ HELD_OUT, FOLDS, ACCEPT = 2, 4, 0.7
 #: Rows of the word n-grams that repeat earlier ones, whatever their words.
 REPEATS = [zlib.crc32(b"repeat %d" % k, 9) % BUCKETS for k in range(3)]
 #: Words of a worker whose numbers are kept.
-KEPT = 1_000_000
+KEPT = 300_000
 
 
 def features(word: bytes) -> list[int]:
