@@ -315,32 +315,54 @@ def _tag(b: bytes) -> int:
 HITS = "doc_id long, tag long, starts binary"
 
 
-def _matched(batches):
-    """Starts of the windows of a part that a lesser document holds too, by text."""
-    unpacker = zstandard.ZstdDecompressor()
-    docs, tags, starts, windows, known = [], [], [], [], []
+def _matched(parts: int):
+    def matched(batches):
+        """Windows of a part that a lesser document holds too, packed by the partition of their texts."""
+        unpacker = zstandard.ZstdDecompressor()
+        docs, tags, starts, windows, known = [], [], [], [], []
+        for batch in batches:
+            for table, at, start, window, done in zip(*(c.to_pylist() for c in batch.columns)):
+                pairs = np.frombuffer(unpacker.decompress(table), np.int64).reshape(-1, 2)[np.frombuffer(unpacker.decompress(at), np.uint32)]
+                docs.append(pairs[:, 0])
+                tags.append(pairs[:, 1])
+                starts.append(np.frombuffer(unpacker.decompress(start), np.int64))
+                windows.append(np.frombuffer(unpacker.decompress(window), np.uint64))
+                known.append(np.unpackbits(np.frombuffer(done, np.uint8), count=len(starts[-1])).astype(bool))
+        if not docs:
+            return
+        doc, tag, start, window, hit = map(np.concatenate, (docs, tags, starts, windows, known))
+        del docs, tags, starts, windows, known
+        open_ = np.nonzero(~hit)[0]
+        open_ = open_[np.lexsort((doc[open_], window[open_]))]
+        if len(open_):
+            w, d = window[open_], doc[open_]
+            new = np.concatenate([[True], w[1:] != w[:-1]])
+            hit[open_] = d != d[np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))]
+        doc, tag, start = doc[hit], tag[hit], start[hit]
+        dest = ((doc.astype(np.uint64) * _A) >> np.uint64(33)).astype(np.int64) % parts
+        order = np.argsort(dest, kind="stable")
+        bounds = np.searchsorted(dest[order], np.arange(parts + 1))
+        packer, rows = zstandard.ZstdCompressor(level=1), []
+        for p in np.nonzero(np.diff(bounds))[0].tolist():
+            o = order[bounds[p] : bounds[p + 1]]
+            rows.append((p, packer.compress(np.stack([doc[o], tag[o], start[o]]).tobytes())))
+        for k in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 64]), (pa.int32(), pa.binary()))], names=["dest", "pack"])
+
+    return matched
+
+
+def _gathered(batches):
+    """Starts of each text of a partition, of all parts' matches."""
+    unpacker, found = zstandard.ZstdDecompressor(), []
     for batch in batches:
-        for table, at, start, window, done in zip(*(c.to_pylist() for c in batch.columns)):
-            pairs = np.frombuffer(unpacker.decompress(table), np.int64).reshape(-1, 2)[np.frombuffer(unpacker.decompress(at), np.uint32)]
-            docs.append(pairs[:, 0])
-            tags.append(pairs[:, 1])
-            starts.append(np.frombuffer(unpacker.decompress(start), np.int64))
-            windows.append(np.frombuffer(unpacker.decompress(window), np.uint64))
-            known.append(np.unpackbits(np.frombuffer(done, np.uint8), count=len(starts[-1])).astype(bool))
-    if not docs:
+        found += [np.frombuffer(unpacker.decompress(x), np.int64).reshape(3, -1) for x in batch.column(0).to_pylist()]
+    if not found:
         return
-    doc, tag, start, window, hit = map(np.concatenate, (docs, tags, starts, windows, known))
-    del docs, tags, starts, windows, known
-    open_ = np.nonzero(~hit)[0]
-    open_ = open_[np.lexsort((doc[open_], window[open_]))]
-    if len(open_):
-        w, d = window[open_], doc[open_]
-        new = np.concatenate([[True], w[1:] != w[:-1]])
-        hit[open_] = d != d[np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))]
-    doc, tag, start = doc[hit], tag[hit], start[hit]
+    doc, tag, start = np.concatenate(found, axis=1)
     order = np.lexsort((start, tag, doc))
     doc, tag, start = doc[order], tag[order], start[order]
-    first = np.nonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]))[0] if len(doc) else np.empty(0, np.int64)
+    first = np.nonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]))[0]
     ends = np.append(first[1:], len(doc))
     for a in range(0, len(first), 8192):
         f = first[a : a + 8192]
@@ -427,7 +449,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", parts: int | None = None
     texts = docs.filter(F.col("doc_id").isNotNull())
     found = stored(_with_texts(texts, back, parts).mapInArrow(_refined(parts), FOUND), "windows")
     windows = found.filter(F.col("part").isNotNull()).repartition(parts, "part").select("table", "at", "starts", "windows", "done")
-    hits = windows.mapInArrow(_matched, HITS)
+    hits = windows.mapInArrow(_matched(parts), "dest int, pack binary").repartition(parts, "dest").select("pack").mapInArrow(_gathered, HITS)
     none, tag = F.lit(None).cast("binary"), F.unhex(F.lpad(F.hex("tag"), 16, "0")).alias("tag")
     spans = found.filter(F.col("spans").isNotNull()).select("doc_id", tag, "spans", none.alias("starts"))
     spans = stored(spans.unionByName(hits.select("doc_id", tag, none.alias("spans"), "starts")), "spans")
