@@ -22,6 +22,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from itertools import groupby, repeat
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,10 @@ COMMON, SPAN = 3, 256
 ITEM, QUESTION, ANSWER, ITEM_ALONE = 0.6, 0.5, 0.5, 0.75
 PIECE_BYTES = 8 << 20
 
-#: A-Z to a-z and ASCII punctuation and white space to spaces, as one translation of bytes.
-_PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+#: For ASCII texts: A-Z to a-z and all that is not alphanumeric to spaces, as one translation of bytes.
+_PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if chr(c).isalnum() else 32 for c in range(256))
+#: Alphanumeric characters (of any script) in sequence.
+_WORD = re.compile(r"[^\W_]+")
 
 HIT = struct_type(
     item_id=T.LongType(), score=T.DoubleType(), overlap=T.DoubleType(), question_overlap=T.DoubleType(), answer_overlap=T.DoubleType(),
@@ -50,23 +53,27 @@ HIT = struct_type(
 )
 
 
-def words_of(b: bytes) -> list[bytes]:
-    return b.translate(_PLAIN).split()
+def words_of(b: bytes) -> list[str]:
+    """Words by Unicode case folding and compatibility forms, split at every character that is not alphanumeric."""
+    if b.isascii():
+        return b.translate(_PLAIN).decode("ascii").split()
+    # Folding can take composed characters apart, so the text is normalized before and after.
+    return _WORD.findall(normalize("NFKC", normalize("NFKC", b.decode("utf-8", "replace")).casefold()))
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
     """A test item's parts: the answer follows the last question mark, or is the last line, the last sentence or the last third."""
     text = text.strip()
     for pattern in (r"\?", r"\n", r"[.!]\s"):
-        ends = [m.end() for m in re.finditer(pattern, text) if text[m.end() :].strip()]
+        ends = [m.end() for m in re.finditer(pattern, text) if _WORD.search(text, m.end()) and _WORD.search(text, 0, m.end())]
         if ends:
             return text[: ends[-1]], text[ends[-1] :]
-    words = text.split()
+    words = words_of(text.encode("utf-8", "replace"))
     cut = len(words) - max(1, len(words) // 3)
     return " ".join(words[:cut]), " ".join(words[cut:])
 
 
-def _pairs(words: list[bytes]) -> list:
+def _pairs(words: list[str]) -> list:
     return list(zip(words, words[1:])) or words
 
 
@@ -170,7 +177,7 @@ class Index:
                     best[k] = hit
         return [best[k] for k in sorted(best)]
 
-    def verify(self, k: int, words: list[bytes], start: int, score: float) -> tuple | None:
+    def verify(self, k: int, words: list[str], start: int, score: float) -> tuple | None:
         item_id, own, *parts = self.items[k]
         first, last = max(0, start - len(own)), min(len(words), start + PASSAGE + len(own))
         near = words[first:last]

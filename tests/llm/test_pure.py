@@ -2,6 +2,7 @@
 
 import base64
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -105,6 +106,17 @@ def test_decontaminate_long_item():
     assert [h[0] for h in decontaminate.Index([(1, item)]).search(("x " * 100 + item).encode())] == [1]
 
 
+def test_decontaminate_unicode():
+    accented = "Où l'élève français a-t-il été reçu à la fête près de l'île où naît la rivière gelée? Côté forêt, là-bas, élève reçu."
+    quoted = "which river crosses the old city near the northern gate? the slow one"
+    index = decontaminate.Index([(1, accented), (2, quoted), (3, "née à öre ſtraße")])
+    found = lambda text: [h[0] for h in index.search(text.encode())]
+    assert found(accented.upper()) == found(unicodedata.normalize("NFD", accented)) == [1]
+    quotes = " ".join(f"«{w}»" if k % 2 else f"“{w}”\u00a0—" for k, w in enumerate(quoted.split()))
+    assert found(quotes) == [2] and found("„NÉE\u00a0À ÖRE STRASSE“") == [3] and found("nee a ore strasse") == []
+    assert decontaminate.question_and_answer("“Is it so? It is.”") == ("“Is it so?", " It is.”")
+
+
 def test_maxent_sums_to_one():
     v = maxent.Vocabulary([(b"", 5), (b"a", 4), (b"b", 1)])
     s = maxent.Stream(v, [b"a b", b""])
