@@ -4,13 +4,16 @@ A token's class is one of ``GROUPS * GROUPS``: the most frequent words have one
 share those of their endings. The model gives
     P(token | history) = P(group | history) * P(class | group, history) * P(token | class),
 two softmaxes whose weights are rows of hashed tables, added up over the features of the history:
-the word before, skip features of the second and third before, the pair of classes before, and a
-bias. The last factor is the token's smoothed share of its class's training tokens.
+the word before, skip features of the second and third before, the classes before, and a bias.
+Every word, whatever its count, is a context by its own fingerprint, and the tables' rows grow
+with the distinct training words. The last factor is the token's smoothed share of its class's
+training tokens.
 
 Weights are trained by distributed gradient updates: in each of ``ROUNDS`` rounds, which together
 run over all training tokens, tasks start from the model and take sparse minibatch steps on
-their rows; their updates, weighted by tokens, are summed up by block of rows on the executors
-and added to the model, which has a fixed size. Scoring is in sparse numpy batches.
+their rows; the rows that a task met come back with how often it met them, their weighted means
+are taken by block of rows on the executors and added to the model. Driver and tasks hold the
+model whole: 384 bytes for each WORDS_A_ROW distinct words. Scoring is in sparse numpy batches.
 
 Counts cover all training tokens and grow with the corpus; they stay a distributed table. Only
 the ``HEAD`` most frequent words of at most ``HEAD_BYTES`` bytes are sent to the executors;
@@ -40,12 +43,17 @@ SMOOTH = 0.1
 HEAD, HEAD_BYTES = 1 << 18, 48
 GROUPS = 16
 CLASSES = GROUPS * GROUPS
-#: Words with a class of their own, and words that are contexts of their own (others stand as their class).
+#: Words with a class of their own, and least words whose rows are kept apart from those of all others.
 SINGLE, CONTEXTS = 128, 2048
-START = CONTEXTS + CLASSES
-#: Rows of the tables of the two softmaxes, rows of a block that updates are summed up by.
-ROWS1, ROWS2, BLOCK = 1 << 15, 1 << 16, 1 << 10
-ROUNDS, BATCH, RATE, EPSILON = 3, 4096, 0.35, 1e-3
+#: The context before a text; words kept apart are contexts below it by rank, others above it by fingerprint (32 bits).
+START = 1 << 32
+#: Least rows of the tables of the two softmaxes for words kept apart and for others, rows of a block that updates are summed up by.
+ROWS1, ROWS2, BLOCK = 1 << 15, 1 << 16, 1 << 6
+#: Distinct training words for each such row of the first table and two of the second.
+WORDS_A_ROW = 32
+#: Blocks that are Python objects at once.
+SENT = 512
+ROUNDS, BATCH, RATE, EPSILON = 3, 4096, 0.35, 0.3
 #: Distinct words a task counts before it sends them on.
 COUNTED = 1 << 18
 END = b""
@@ -87,11 +95,19 @@ class Vocabulary:
         self.classes = np.array([k if k < SINGLE else ending(w) for k, w in enumerate(self.words)] or [0], np.int64)
         self.class_tokens, self.class_words = np.zeros(CLASSES), np.zeros(CLASSES)
         self.tokens = self.distinct = 0
+        self.sized(0)
         self._ids: dict[bytes, int] | None = None
 
     def __getstate__(self):
         return self.__dict__ | {"_ids": None}
 
+    def sized(self, distinct: int) -> None:
+        """Rows of the tables (two halves of whole blocks), and the contexts of the head's words."""
+        more = math.ceil(distinct / WORDS_A_ROW / BLOCK) * BLOCK
+        self.rows = 2 * max(ROWS1, more), 2 * max(ROWS2, 2 * more)
+        apart = max(CONTEXTS, self.rows[0] // 2 * CONTEXTS // ROWS1)
+        self.contexts = np.array([k if k < apart else START + 1 + zlib.crc32(w) for k, w in enumerate(self.words)] or [0], np.int64)
+
     @property
     def ids(self) -> dict[bytes, int]:
         if self._ids is None:
@@ -124,6 +140,7 @@ def vocabulary_of(counts: DataFrame) -> Vocabulary:
     for k, tokens, words in sums:
         v.class_tokens[k], v.class_words[k] = tokens, words
     v.tokens, v.distinct = int(v.class_tokens.sum()), int(v.class_words.sum())
+    v.sized(v.distinct)
     return v
 
 
@@ -141,7 +158,8 @@ class Stream:
         self.classes = v.classes[np.maximum(self.ids, 0)]
         self.tail = np.nonzero(self.ids < 0)[0]
         self.classes[self.tail] = [ending(flat[k]) for k in self.tail.tolist()]
-        context = np.where((self.ids >= 0) & (self.ids < CONTEXTS), self.ids, CONTEXTS + self.classes)
+        context = v.contexts[np.maximum(self.ids, 0)]
+        context[self.tail] = [START + 1 + zlib.crc32(flat[k]) for k in self.tail.tolist()]
         first = np.cumsum(self.lengths) - self.lengths
         place = np.arange(n) - np.repeat(first, self.lengths)
         back = []
@@ -153,18 +171,23 @@ class Stream:
         pair[1:] = self.classes[:-1]
         before = np.full(n, CLASSES)
         before[2:] = self.classes[:-2]
-        pair = np.where(place >= 1, pair, CLASSES) * (CLASSES + 1) + np.where(place >= 2, before, CLASSES)
+        pair = np.where(place >= 1, pair, CLASSES)
+        near = pair
+        pair = pair * (CLASSES + 1) + np.where(place >= 2, before, CLASSES)
         self.group = self.classes // GROUPS
         self.member = self.classes % GROUPS
-        self.rows1 = np.stack([np.zeros(n, np.int64), *(_hashed(b, k, ROWS1) for k, b in enumerate([*back, pair], 1))], 1)
-        self.rows2 = np.stack([_hashed(x * GROUPS + self.group, k, ROWS2) for k, x in enumerate([np.zeros(n, np.int64), *back[:2]], 8)], 1)
+        rows1, rows2 = v.rows
+        self.rows1 = np.stack([np.zeros(n, np.int64), *(_hashed(b, k, rows1, b > START) for k, b in enumerate([*back, pair], 1))], 1)
+        self.rows2 = np.stack([_hashed(x * GROUPS + self.group, k, rows2, x > START) for k, x in enumerate([np.zeros(n, np.int64), *back[:2], near], 8)], 1)
 
 
-def _hashed(value: np.ndarray, kind: int, rows: int) -> np.ndarray:
+def _hashed(value: np.ndarray, kind: int, rows: int, other: np.ndarray) -> np.ndarray:
+    """Rows of the table's first half, or of its second half where other."""
     h = (value.astype(np.uint64) + np.uint64(kind << 40)) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xC2B2AE3D27D4EB4F)
-    return (h >> np.uint64(40)).astype(np.int64) % rows
+    half = rows // 2
+    return (h >> np.uint64(32)).astype(np.int64) % half + np.where(other, half, 0)
 
 
 def _softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -187,8 +210,8 @@ def log_classes(model: tuple[np.ndarray, np.ndarray], s: Stream) -> np.ndarray:
     return out
 
 
-def _step(weights: np.ndarray, sums: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
-    """A minibatch's sparse step; each row's rate falls with its gradients so far."""
+def _step(weights: np.ndarray, sums: np.ndarray, seen: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
+    """A minibatch's sparse step; each row's rate falls with its gradients so far. seen: how often each row was met."""
     g = _softmax(weights, rows)
     g[np.arange(len(target)), target] -= 1
     for k in range(rows.shape[1]):
@@ -198,64 +221,74 @@ def _step(weights: np.ndarray, sums: np.ndarray, rows: np.ndarray, target: np.nd
         at = own[order[first]]
         total = np.add.reduceat(g[order], first, axis=0)
         sums[at] += (total * total).mean(axis=1)
+        seen[at] += np.diff(first, append=len(order)).astype(np.uint32)
         weights[at] -= RATE * total / np.sqrt(sums[at] + EPSILON)[:, None]
 
 
-def zero_model() -> tuple[np.ndarray, np.ndarray]:
-    return np.zeros((ROWS1, GROUPS), np.float32), np.zeros((ROWS2, GROUPS), np.float32)
+def zero_model(rows1: int = 2 * ROWS1, rows2: int = 2 * ROWS2) -> tuple[np.ndarray, np.ndarray]:
+    return np.zeros((rows1, GROUPS), np.float32), np.zeros((rows2, GROUPS), np.float32)
 
 
 def _updates(model, vocabulary):
     def updates(batches):
-        """Changes of a task's copy of the model, as blocks of rows, with its tokens as weight."""
+        """Changes of the rows that a task met, by block, with how often it met them."""
         start = model.value
         own = tuple(w.copy() for w in start)
         sums = [np.zeros(len(w), np.float32) for w in own]
-        tokens = 0
+        seen = [np.zeros(len(w), np.uint32) for w in own]
         for batch in batches:
             for part in slices(batch.column(0)):
                 s = Stream(vocabulary.value, part)
-                tokens += len(s.classes)
                 for a in range(0, len(s.classes), BATCH):
                     b = slice(a, a + BATCH)
-                    _step(own[0], sums[0], s.rows1[b], s.group[b])
-                    _step(own[1], sums[1], s.rows2[b], s.member[b])
-        if not tokens:
-            return
-        change = np.concatenate([(w - v).astype(np.float16) for w, v in zip(own, start)])
-        count = len(change) // BLOCK
-        rows = [change[k * BLOCK : (k + 1) * BLOCK].tobytes() for k in range(count)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(count)), pa.array(np.full(count, tokens)), pa.array(rows, pa.binary())], names=["block", "tokens", "change"])
+                    _step(own[0], sums[0], seen[0], s.rows1[b], s.group[b])
+                    _step(own[1], sums[1], seen[1], s.rows2[b], s.member[b])
+        for w, v, times, base in zip(own, start, seen, (0, len(own[0]) // BLOCK)):
+            met = np.nonzero(times)[0]
+            ends = np.searchsorted(met, np.arange(0, len(w) + 1, BLOCK))
+            blocks = np.nonzero(np.diff(ends))[0].tolist()
+            for some in (blocks[k : k + SENT] for k in range(0, len(blocks), SENT)):
+                ats = [met[ends[k] : ends[k + 1]] for k in some]
+                columns = [
+                    [base + k for k in some], [(at % BLOCK).astype(np.uint8).tobytes() for at in ats],
+                    [times[at].tobytes() for at in ats], [(w[at] - v[at]).astype(np.float16).tobytes() for at in ats],
+                ]
+                kinds = [pa.int64()] + [pa.binary()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["block", "at", "times", "change"])
 
     return updates
 
 
 def _summed(batches):
-    """Weighted means of the changes of each block of a task's share."""
-    sums: dict[int, np.ndarray] = {}
-    weights: Counter = Counter()
+    """Means of the changes of each block of a task's share, each row's weighted by how often tasks met it."""
+    sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
-        for block, tokens, change in zip(*(c.to_pylist() for c in batch.columns)):
-            x = np.frombuffer(change, np.float16).astype(np.float64) * tokens
-            sums[block] = sums[block] + x if block in sums else x
-            weights[block] += tokens
-    rows = [(sums[k] / weights[k]).astype(np.float32).tobytes() for k in sums]
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(rows, pa.binary())], names=["block", "change"])
+        for block, at, times, change in (x for k in range(0, len(batch), SENT) for x in zip(*(c.to_pylist() for c in batch.slice(k, SENT).columns))):
+            if block not in sums:
+                sums[block] = np.zeros((BLOCK, GROUPS), np.float32), np.zeros(BLOCK, np.float32)
+            rows, n = np.frombuffer(at, np.uint8), np.frombuffer(times, np.uint32).astype(np.float32)
+            total, weight = sums[block]
+            total[rows] += np.frombuffer(change, np.float16).reshape(-1, GROUPS) * n[:, None]
+            weight[rows] += n
+    blocks = list(sums)
+    for some in (blocks[k : k + SENT] for k in range(0, len(blocks), SENT)):
+        rows = [(total / np.maximum(weight, 1)[:, None]).tobytes() for total, weight in map(sums.pop, some)]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(rows, pa.binary())], names=["block", "change"])
 
 
 def train(rows: DataFrame, v: Vocabulary, key: Column) -> tuple[np.ndarray, np.ndarray]:
     """A model of the rows' texts (column b). key: an integer that deals rows out to rounds."""
     sc = rows.sparkSession.sparkContext
-    vocabulary, model = sc.broadcast(v), zero_model()
+    vocabulary, model = sc.broadcast(v), zero_model(*v.rows)
     for k in range(ROUNDS):
         sent = sc.broadcast(model)
         share = rows.filter(F.pmod(key, F.lit(ROUNDS)) == k).select("b")
-        changes = share.mapInArrow(_updates(sent, vocabulary), "block long, tokens long, change binary")
-        # Fixed size: (ROWS1 + ROWS2) * GROUPS floats, 6 MB, whatever the input.
-        both = np.concatenate(model)
-        for block, change in changes.repartition("block").mapInArrow(_summed, "block long, change binary").collect():
-            both[block * BLOCK : (block + 1) * BLOCK] += np.frombuffer(change, np.float32).reshape(BLOCK, GROUPS)
-        model = both[:ROWS1].copy(), both[ROWS1:].copy()
+        changes = share.mapInArrow(_updates(sent, vocabulary), "block long, at binary, times binary, change binary")
+        means = stored(changes.repartition("block").mapInArrow(_summed, "block long, change binary"), "changes", "none")
+        first = len(model[0]) // BLOCK
+        for block, change in means.toLocalIterator():
+            w, at = (model[0], block) if block < first else (model[1], block - first)
+            w[at * BLOCK : (at + 1) * BLOCK] += np.frombuffer(change, np.float32).reshape(BLOCK, GROUPS)
         sent.unpersist()
     return model
 

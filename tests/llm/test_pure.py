@@ -125,6 +125,16 @@ def test_maxent_sums_to_one():
     assert np.allclose(maxent._softmax(model[0], s.rows1).sum(1), 1) and s.lengths.tolist() == [3, 1]
     assert (maxent.log_classes(model, s) < 0).all()
 
+def test_maxent_contexts_of_all_words():
+    v = maxent.Vocabulary([(b"w%04dend" % k, 9000 - k) for k in range(4000)])
+    texts = [b"w3000end x", b"w3001end x", b"unmet1end x", b"unmet2end x"]  # equal classes
+    rows = maxent.Stream(v, texts)
+    assert len({tuple(r) for r in rows.rows1[1::3].tolist()}) == len({tuple(r) for r in rows.rows2[1::3].tolist()}) == 4
+    small = v.rows
+    v.sized(10**7)
+    assert all(b > 4 * a for a, b in zip(small, v.rows)) and maxent.Stream(v, texts).rows2.max() > small[1]
+
+
 
 def test_quality_learns():
     good = [quality.text_features(b" ".join(b"good%d" % (k * j % 97) for j in range(60))) for k in range(60)]
