@@ -6,7 +6,7 @@ is beyond the cutoff. The estimate covers every row: from medians and median dev
 exact histograms), each concentration step is one aggregation over all rows, in which rows are
 counted and summed up by distance bin; the bins up to the one that completes the half-set
 give the next centre and scatter. A group of fewer than ``LEAST`` rows takes its language's
-estimate; if that has too few as well, the base rules alone decide.
+estimate; if that has too few as well, the estimate over all rows of all languages, however many.
 
 Nothing of the size of the input reaches a task or the driver: a group, whatever share of the
 rows it holds, is summed up in partial aggregates and arrives as at most ``BINS`` rows.
@@ -31,7 +31,7 @@ from folia.llm.common import slices, stored, struct_array, struct_type, table, u
 
 LEAST_WORDS, MOST_REPEATED = 50, 0.5
 #: Share of a group that the estimate is drawn from, concentration steps, least rows of a group.
-HALF, STEPS, LEAST = 0.75, 4, 100
+HALF, STEPS, LEAST = 0.75, 4, 20
 #: Normal quantile of the cutoff, in terms of chi-square.
 QUANTILE = 5.0
 #: The statistics, their largest value, and the least deviation that counts as one.
@@ -164,14 +164,16 @@ def _keys() -> tuple[Column, Column]:
 
 
 def fit(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(statistics of each row that passes the base rules, models of each (lang, source) and of each lang, whose source is null)."""
+    """(statistics of each row that passes the base rules, models of each (lang, source), of each lang, whose source is null, and of all, whose lang is null too)."""
     lang, source = _keys()
     rows = docs.select("doc_id", lang.alias("lang"), source.alias("source"), stats(utf8(text)).alias("s"))
     rows = stored(rows.select("doc_id", "lang", "source", "s.*"), "statistics")
     s = {n: F.col(n) for n in NAMES}
     good = rows.filter(~base_failed(s)).select("lang", "source", *[v.alias(f"x{i}") for i, v in enumerate(vector(s))])
-    # Each row counts for its group and for its language.
-    good = good.withColumn("source", F.explode(F.array(F.col("source"), F.lit(None).cast("string"))))
+    # Each row counts for its group, for its language and for all.
+    none = F.lit(None).cast("string")
+    keys = F.array(F.struct("lang", "source"), F.struct("lang", none.alias("source")), F.struct(none.alias("lang"), none.alias("source")))
+    good = good.withColumn("k", F.explode(keys)).withColumns({"lang": F.col("k.lang"), "source": F.col("k.source")}).drop("k")
     x = [F.col(f"x{i}") for i in range(P)]
     cells = [F.struct(F.lit(i).alias("dim"), F.least(F.floor(x[i] * (BINS / most)), F.lit(BINS - 1)).cast("int").alias("bin")) for i, (most, _) in enumerate(STATISTICS.values())]
     counts = good.select("lang", "source", F.explode(F.array(*cells)).alias("c")).groupBy("lang", "source", "c.dim", "c.bin").agg(F.count("*").alias("n"))
@@ -179,7 +181,7 @@ def fit(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     sums = [F.sum(x[i]).alias(f"s{i}") for i in range(P)] + [F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i in range(P) for j in range(i, P)]
     for _ in range(STEPS):
         m = models.select(F.col("lang").alias("l"), F.col("source").alias("g"), F.struct("mean", "inverse").alias("m"))
-        met = good.join(m, (F.col("lang") == F.col("l")) & F.col("source").eqNullSafe(F.col("g")))
+        met = good.join(m, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("g")))
         bins = F.least(F.floor(F.log1p(distance(x, F.col("m"))) * 128), F.lit(BINS - 1)).cast("int").alias("bin")
         steps = met.groupBy("lang", "source", bins).agg(F.count("*").alias("n"), *sums)
         models = stored(steps.groupBy("lang", "source").applyInPandas(_step, MODEL), "model")
@@ -190,9 +192,10 @@ def verdicts(rows: DataFrame, models: DataFrame, s: Column | dict) -> DataFrame:
     """The rows, which have lang and source keys _lang and _source, with base_failed, distance and kept."""
     enough = models.filter(F.col("n") >= LEAST)
     of_group = enough.filter(F.col("source").isNotNull()).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.struct("mean", "inverse").alias("_own"))
-    of_lang = enough.filter(F.col("source").isNull()).select(F.col("lang").alias("_lang"), F.struct("mean", "inverse").alias("_all"))
-    rows = rows.join(of_group, ["_lang", "_source"], "left").join(of_lang, "_lang", "left")
-    d = distance(vector(s), F.coalesce(F.col("_own"), F.col("_all")))
+    of_lang = enough.filter(F.col("lang").isNotNull() & F.col("source").isNull()).select(F.col("lang").alias("_lang"), F.struct("mean", "inverse").alias("_wide"))
+    of_all = models.filter(F.col("lang").isNull()).select(F.struct("mean", "inverse").alias("_all"))
+    rows = rows.join(of_group, ["_lang", "_source"], "left").join(of_lang, "_lang", "left").join(F.broadcast(of_all), F.lit(True), "left")
+    d = distance(vector(s), F.coalesce(F.col("_own"), F.col("_wide"), F.col("_all")))
     failed = base_failed(s)
     return rows.select("*", failed.alias("base_failed"), d.alias("distance"), (~failed & F.coalesce(d <= chi_square(QUANTILE, P), F.lit(True))).alias("kept"))
 

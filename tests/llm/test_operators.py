@@ -159,6 +159,14 @@ def test_quality_rules(spark, frame, corpus):
     assert {r.doc_id for r in rules.keep_good(frame(usual + odd)).collect()} == set(range(300))
 
 
+def test_quality_rules_of_rare_languages(spark):
+    rng = random.Random(8)
+    usual = [" ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(3, 8))) for _ in range(90)) + "." for _ in range(310)]
+    rows = [(k, t, "aa" if k < 300 else "bb", "s") for k, t in enumerate(usual)] + [(1000, " ".join(f"{t}###" for t in usual[0].split()), "bb", "s")]
+    got = rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert all(r.distance is not None for r in got) and [r.doc_id for r in got if not r.kept] == [1000]
+
+
 def test_language_model(frame, corpus):
     rows = maxent.score(frame(corpus)).collect()
     words = lambda t: [*(t or "").encode().lower().split(), b""]
