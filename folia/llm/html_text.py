@@ -57,7 +57,7 @@ MARKS = frozenset(
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 SPACE = re.compile(r"\s+")
 SIGMA, REACH = 1.0, 2
-#: Share of the regions' text that the article's element must hold.
+#: Share of the regions' text that must lie in an article or main for it to be the root.
 SHARE = 0.9
 
 
@@ -223,9 +223,9 @@ def main_text(html: str) -> str:
         for k in path[at]:
             weight[k] = weight.get(k, 0) + max(1, len(text) - linked)
     total = weight[0]
-    holders = [k for k, w in weight.items() if w >= SHARE * total and parser.elements[k][0] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "tr")]
-    root = max(holders)
-    k = root
+    holders = [k for k in weight if parser.elements[k][0] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "tr")]
+    k = max(k for k in holders if weight[k] >= SHARE * total)
+    root = max(k for k in holders if weight[k] == total)  # without an article, all chosen lines count
     while k >= 0:
         if parser.elements[k][0] in ARTICLE:
             root = k

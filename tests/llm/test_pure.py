@@ -87,6 +87,15 @@ def test_covered():
     assert substrings.covered(np.array([[5, 9], [0, 3], [3, 4], [8, 12]])).tolist() == [[0, 4], [5, 12]]
 
 
+def test_main_text_of_divs():
+    long, last = [f"Paragraph {k} " + "of words " * 60 for k in range(10)], "The last section " + "goes on " * 48
+    lines = ["A heading of the page", *long, last]
+    body = "".join(f"<p>{t}</p>" for t in long)
+    page = f'<body><div id="content"><h1>{lines[0]}</h1><div class="text">{body}</div><div class="more"><p>{last}</p></div></div></body>'
+    assert html_text.main_text(page) == "\n".join(t.strip() for t in lines)
+    assert html_text.main_text(page.replace('<div class="text">', "<blockquote>").replace("</div><div class=", "</blockquote><div class=")) == "\n".join(t.strip() for t in lines)
+
+
 def test_decontaminate_index():
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
