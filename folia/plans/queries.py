@@ -107,7 +107,9 @@ def missing_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rules(lengths: list[int]) -> bytes:
     rules = [(0xE4, w.s16(n)) for n in lengths]
-    return w.document(w.page(w.page_descriptor(12240, 15840), *[w.text_field(*rules[k : k + 100]) for k in range(0, len(rules), 100)]))
+    # Of each page only the first layout.MOST_RUNS rules are read.
+    pages = [rules[k : k + layout.MOST_RUNS] for k in range(0, len(rules), layout.MOST_RUNS)]
+    return w.document(*[w.page(w.page_descriptor(12240, 15840), *[w.text_field(*page[k : k + 100]) for k in range(0, len(page), 100)]) for page in pages])
 
 
 def rules_extent(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 
 from folia.operators import fields as ops
 from folia.operators import layout
+from folia.plans import queries
 from folia.sources import afp
 from folia.sources import writer as w
 
@@ -82,3 +83,10 @@ def test_data_source(spark, tmp_path):
     rows = spark.read.format("afp").load(str(tmp_path)).collect()
     assert len(rows) == 3 and sum(r.error is not None for r in rows) == 1
     assert afp.frame(afp.read_files(spark, str(tmp_path))).count() == 3
+
+
+def test_rules_extent_of_a_hot_order(spark, tmp_path):
+    lines = [(1, float(k % 50 + 1)) for k in range(5003)] + [(2, 7.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {tuple(r) for r in queries.rules_extent(spark, str(tmp_path)).collect()}
+    assert got == {(1, 5003, sum(int(q * 10) for _, q in lines[:-1])), (2, 1, 70)}
