@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,12 @@ def struct_array(names: list[str], columns: list[list], types: list[pa.DataType]
     return pa.StructArray.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=names)
 
 
+def lists(values: np.ndarray, some: np.ndarray) -> pa.ListArray:
+    """A list column of the rows of ``values`` where ``some`` is set, and of empty lists elsewhere."""
+    ends = np.concatenate([[0], np.cumsum(some * values.shape[1])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel()))
+
+
 def slices(values: pa.Array, most_bytes: int = 1 << 20, most_rows: int = 4096):
     """Pieces of an Arrow binary column as lists of bytes, of about ``most_bytes`` each (a longer text stands alone).
 

@@ -90,6 +90,18 @@ def test_near_duplicates(frame, corpus):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
 
 
+def test_near_duplicates_settled_in_units(frame, corpus, monkeypatch):
+    """All links come from tiles of large buckets: no leader, no guest and no small bucket finds one."""
+    _, want = brute_components([r for r in corpus if r[0] is not None], 4, 80)
+    none = lambda pairs, nodes, percent: pairs.filter("false").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    monkeypatch.setattr(minhash, "_confirmed", none)
+    monkeypatch.setattr(minhash, "FEW", 0)
+    for tile in (2, 4096):
+        monkeypatch.setattr(minhash, "TILE", tile)
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(corpus), size=4).collect() if r.doc_id is not None}
+        assert got == want
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, 101), (101, 100), (7, 7)] + [(200, k) for k in range(201, 220)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
