@@ -59,9 +59,6 @@ def fixed_name(b: bytes | None) -> str | None:
     return None if b is None else b.decode(DEFAULT_CODEC, "replace").strip() or None
 
 
-_PRINTABLE_PREFIX = re.compile(r"[^\x00-\x1f\x7f-\xa0\xad]*")
-
-
 def font_name(b: bytes) -> str:
     """An EBCDIC name up to its first character that can't be printed."""
     text = b.decode(DEFAULT_CODEC, "replace")
