@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 from folia.llm import bpe, decontaminate, graph, html_text, maxent, minhash, quality, rules, secrets, sharding, substrings
 
 
+SMALL = "/root/testdata/sf0.01"
+
+
 @pytest.fixture(scope="module")
 def corpus():
     rng = random.Random(5)
@@ -199,6 +203,24 @@ def test_language_model_tail(frame, corpus, monkeypatch):
     assert {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in maxent.score(frame(corpus[:30])).collect()} == want
 
 
+def test_language_model_is_one_of_the_table(frame, corpus):
+    """Scores don't depend on how the rows are cut into tasks, and held-out texts gain on the base."""
+    rng = random.Random(9)
+    follows = {f"v{k}": [f"v{rng.randrange(300)}" for _ in range(3)] for k in range(300)}
+
+    def text():
+        words = ["v1"]
+        while len(words) < 80:
+            words.append(rng.choice(follows[words[-1]]))
+        return " ".join(words)
+
+    docs = frame([(k, text()) for k in range(300)])
+    one, many = ({r.doc_id: r for r in maxent.score(docs.repartition(n)).collect()} for n in (1, 16))
+    assert all(abs(one[k].score - many[k].score) < 1e-3 for k in one)
+    held = [r for r in one.values() if r.held_out]
+    assert sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held) > 0.3
+
+
 def test_classifier(spark, frame, corpus):
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)] + [(61, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     rows = quality.classify(frame(corpus), labels).collect()
@@ -206,6 +228,16 @@ def test_classifier(spark, frame, corpus):
     assert {r.score for r in quality.classify(frame(corpus), labels.filter("false")).collect()} == {0.5}
 
 
+def test_classifier_on_held_out_labels(spark):
+    """Area under the curve of the held-out labels of the small tables."""
+    if not os.path.isdir(SMALL):
+        pytest.skip("no tables here")
+    docs, labels = (spark.read.parquet(f"{SMALL}/{n}.parquet") for n in ("documents", "labels"))
+    rows = quality.classify(docs, labels).filter("held_out").join(labels, "doc_id").collect()
+    good, bad = ([r.score for r in rows if r.quality == k] for k in (1, 0))
+    assert sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad)) > 0.97
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "<p>a&lt;b", "m"), (2, None, "m"), (3, "", "m")], "page_id int, html string, main string")
     assert {r.page_id: (r.main.text, r.main.n_chars) for r in html_text.extract(pages).collect()} == {1: ("a<b", 3), 2: ("", 0), 3: ("", 0)}

@@ -1,10 +1,16 @@
 """The operators' kernels against brute force; no Spark."""
 
 import base64
+import hashlib
+import math
 import random
+import time
 import unicodedata
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from folia.llm import bpe, decontaminate, html_text, maxent, minhash, quality, rules, secrets, substrings
@@ -78,9 +84,53 @@ def test_minhash_estimate_and_sets():
 
 def test_buckets_are_equal_only_for_equal_bytes():
     data = np.frombuffer(b"abcdefgh" * 20, np.uint8)
-    anchor, window = substrings.buckets(data)
-    assert len(window) == 160 - 49 and len(anchor) == 160 - 23
-    assert len(set(window.tolist())) == 8 and window[0] == window[8]
+    anchor, half = substrings.buckets(data)
+    assert len(half) == 160 - 31 and len(anchor) == 160 - 23
+    assert len(set(half.tolist())) == 8 and half[0] == half[8] and len(set(anchor.tolist())) == 8
+
+
+def brute_repeats(rows):
+    seen, out = set(), {}
+    for i, t in sorted(set(rows)):
+        own = [t[k : k + 50] for k in range(len(t) - 49)]
+        cover = bytearray(len(t))
+        for k, w in enumerate(own):
+            if w in seen:
+                cover[k : k + 50] = b"\1" * 50
+        seen.update(own)
+        out[i] = (len(t), sum(cover), len([1 for x in bytes(cover).split(b"\0") if x]), hashlib.sha256(bytes(x for x, c in zip(t, cover) if not c)).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize(("chunk", "hot", "sent"), [(substrings.CHUNK, substrings.HOT, substrings.SENT), (70, 1, 40), (333, 3, 500)])
+def test_substrings_in_tasks(monkeypatch, chunk, hot, sent):
+    """All steps, task by task, whatever the pieces of a text, the hot anchors and the rows sent at once."""
+    for name, value in (("CHUNK", chunk), ("HOT", hot), ("SENT", sent)):
+        monkeypatch.setattr(substrings, name, value)
+    rng = random.Random(3)
+    word = lambda: bytes(rng.choice(b"abcdef") for _ in range(rng.randint(1, 7)))
+    some = lambda n: b" ".join(word() for _ in range(n))
+    line, passage = some(7)[:35], some(40)
+    rows = [(k, b" ".join([some(rng.randint(0, 30)), line, some(20), *([passage] if k % 3 else []), some(rng.randint(0, 9)), line])) for k in range(60)]
+    rows += [(100 + k, rows[k][1]) for k in range(5)] + [(200, b""), (201, b"x" * 400), (202, b"x" * 49), (203, b"y" + b"x" * 90)]
+    parts = 5
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k::3]), (pa.int64(), pa.binary()))], names=["doc_id", "b"]) for k in range(3)]
+
+    def dealt(*outs):
+        """Rows of several tasks by part, sorted by kind."""
+        found = [r for out in outs for batch in out for r in zip(*(c.to_pylist() for c in batch.columns))]
+        for p in range(parts):
+            own = sorted((r for r in found if r[0] == p), key=lambda r: r[1])
+            yield list(substrings._rows(own))
+
+    only = lambda out, kind: [batch.filter(pa.compute.equal(batch.column(1), kind)) for batch in out]
+    back = [b for own in dealt(*(substrings._entries(parts)([x]) for x in batches)) for b in substrings._settled(parts)(own)]
+    texts = [b for x in batches for b in substrings._texts(parts)([x])]
+    found = [b for own in dealt(only(back, substrings.BACK), texts) for b in substrings._refined(parts)(own)]
+    hits = [b for own in dealt(only(found, substrings.WINDOWS)) for b in substrings._matched(parts)(own)]
+    spans = only(back, substrings.SPANS), only(found, substrings.SPANS), hits, texts
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for own in dealt(*spans) for b in substrings._removed(False)(own) for r in b.to_pylist()}
+    assert got == brute_repeats(rows)
 
 
 def test_covered():
@@ -126,23 +176,130 @@ def test_decontaminate_unicode():
     assert decontaminate.question_and_answer("“Is it so? It is.”") == ("“Is it so?", " It is.”")
 
 
+def maxent_vocabulary(texts):
+    """A chunk of the texts, all of them trained on, and their vocabulary."""
+    columns = [pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array([False] * len(texts)), pa.array(texts, pa.binary())]
+    (batch,) = maxent._chunked([pa.RecordBatch.from_arrays(columns, names=list("abcd"))])
+    (chunk,) = maxent._chunks([batch])
+    counts = dict(zip(batch.column(5)[0].as_py(), batch.column(6)[0].as_py()))
+    v = maxent.Vocabulary(sorted(counts.items(), key=lambda x: (-x[1], x[0])))
+    for k, (w, c) in enumerate(zip(v.words, v.counts.tolist())):
+        if not v.alone[k]:
+            v.rest_tokens[maxent.ending(w)] += c
+            v.rest_words[maxent.ending(w)] += 1
+    v.tokens, v.distinct = sum(counts.values()), len(counts)
+    v.sized(v.distinct)
+    v.finished()
+    return v, chunk, counts
+
+
+def test_maxent_chunks():
+    texts = [b"A b\x0b\x0cb  c\xc2\xa0d", b"", b" \n", b"b " * 9, b" x", "É é".encode(), b"\x1c"]
+    v, chunk, counts = maxent_vocabulary(texts)
+    words = [[*t.lower().split(), b""] for t in texts]
+    assert counts == Counter(w for own in words for w in own)
+    ids, lengths = np.frombuffer(chunk["ids"], "<i4"), np.frombuffer(chunk["lengths"], "<i8")
+    assert lengths.tolist() == [len(w) for w in words] and [chunk["words"][k] for k in ids] == [w for own in words for w in own]
+
+
 def test_maxent_sums_to_one():
-    v = maxent.Vocabulary([(b"", 5), (b"a", 4), (b"b", 1)])
-    s = maxent.Stream(v, [b"a b", b""])
-    rng = np.random.default_rng(0)
-    model = tuple(rng.normal(size=w.shape).astype(np.float32) for w in maxent.zero_model())
-    assert np.allclose(maxent._softmax(model[0], s.rows1).sum(1), 1) and s.lengths.tolist() == [3, 1]
-    assert (maxent.log_classes(model, s) < 0).all()
+    """Over the whole vocabulary and the unknown word, after each of some histories; whatever the training did."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(900) * rng.randrange(4)}" for _ in range(60)).encode() for _ in range(60)]
+    v, chunk, _ = maxent_vocabulary(texts)
+    counts = maxent.zero_counts(v.bits)
+    streams = [s for *_, s in maxent._streams(v, chunk)]
+    for s in streams:
+        maxent.add_counts(counts, s)
+    model = maxent.Model(counts)
+    before = sum(model.log_chances(s).sum() for s in streams)
+    for _ in range(2):
+        sums = maxent.zero_sums(model)
+        for s in streams:
+            model.add_gradient(sums, s)
+        model.step(sums)
+    assert sum(model.log_chances(s).sum() for s in streams) > before
+    for history in ("w0 w3", "w7", "unmet w0", "w5 unmet w8"):
+        h = [v.ids.get(w, maxent.tail_id(w)) for w in history.encode().split()]
+        s = maxent.Stream(v, np.array([x for k in range(len(v.words)) for x in [*h, k]]), np.full(len(v.words), len(h) + 1))
+        total = (10 ** (model.log_chances(s) + s.share))[len(h) :: len(h) + 1].sum()
+        # Each class but those of one word keeps a share for an unknown word.
+        unmet, spare = [], []
+        for c in range(maxent.SINGLE, maxent.CLASSES):
+            unmet += [*h, -1 - (c - maxent.SINGLE)]
+            spare.append(math.log10(maxent.SMOOTH))
+        u = maxent.Stream(v, np.array(unmet), np.full(len(spare), len(h) + 1))
+        total += (10 ** (model.log_chances(u) + u.share))[len(h) :: len(h) + 1] @ np.power(10, spare)
+        # Classes and leaves without a word have the rest.
+        assert 0.9 < total <= 1 + 1e-4
+        for k, c in enumerate(s.choices):
+            assert np.allclose(model.chances(k, c, slice(0, 50)).sum(1), 1, atol=1e-4)
+
 
 def test_maxent_contexts_of_all_words():
     v = maxent.Vocabulary([(b"w%04dend" % k, 9000 - k) for k in range(4000)])
-    texts = [b"w3000end x", b"w3001end x", b"unmet1end x", b"unmet2end x"]  # equal classes
-    rows = maxent.Stream(v, texts)
-    assert len({tuple(r) for r in rows.rows1[1::3].tolist()}) == len({tuple(r) for r in rows.rows2[1::3].tolist()}) == 4
-    small = v.rows
-    v.sized(10**7)
-    assert all(b > 4 * a for a, b in zip(small, v.rows)) and maxent.Stream(v, texts).rows2.max() > small[1]
-
+    v.finished()
+    pairs = [[v.ids.get(w, maxent.tail_id(w)), v.ids.get(b"w0000end")] for w in (b"w3000end", b"w3001end", b"unmet1end", b"unmet2end")]  # equal classes
+    s = maxent.Stream(v, np.array(pairs).ravel(), np.full(4, 2))
+    assert len(set(s.choices[0].rows[0][1::2].tolist())) == len(set(s.choices[1].rows[0][1::2].tolist())) == 4
+    small = v.bits
+    v.sized(1 << 23)
+    assert v.bits == tuple(b + 2 for b in small)
+
+
+def test_maxent_gradient_is_the_sum_of_all_tokens():
+    """By brute force, for each table: probabilities less choices, added up by row."""
+    v, chunk, _ = maxent_vocabulary([b"a b a c ab bb ac " * 3, b"b c b", b""])
+    counts = maxent.zero_counts(v.bits)
+    (s,) = [s for *_, s in maxent._streams(v, chunk)]
+    maxent.add_counts(counts, s)
+    model = maxent.Model(counts)
+    sums = maxent.zero_sums(model)
+    model.add_gradient(sums, s)
+    for k, c in enumerate(s.choices):
+        want = np.zeros(sums[k].T.shape)
+        p = model.chances(k, c, slice(None))
+        for t in range(len(c.target)):
+            for rows in c.rows:
+                if rows[t] < len(want):
+                    want[rows[t]] += p[t] - np.eye(16)[c.target[t]]
+        assert np.allclose(want, sums[k].T, atol=1e-4)
+
+
+def test_deep_pages_take_linear_time():
+    began = time.process_time()
+    for page in ("<div>x" * 20000, "<b>x" * 20000 + "<p>y" * 5000, "<div>" * 20000 + "</section>" * 20000 + "z", "<ul><li>a" * 10000):
+        html_text.main_text(page)
+    assert time.process_time() - began < 20
+
+
+def test_regions_choose_the_element():
+    """Two divs side by side: both come only if both hold a chosen line."""
+    rng = random.Random(11)
+    both = 0
+    for _ in range(200):
+        parts = [[" ".join(["word"] * rng.randint(1, size)) for _ in range(rng.randint(1, 8))] for size in (rng.choice([3, 60]), rng.choice([3, 60]))]
+        page = "<body>" + "".join("<div>" + "".join(f"<p>{t}</p>" for t in part) + "</div>" for part in parts)
+        got = html_text.main_text(page).split("\n")
+        parser = html_text._Lines()
+        parser.feed(page)
+        parser._pop(0)
+        ratios = [len(t) / max(1, tags) for t, tags, _, _ in parser.lines]
+        mean = sum(ratios) / len(ratios)
+        level = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
+        smooth = html_text._smoothed(ratios)
+        chosen = {int(i >= len(parts[0])) for i, s in enumerate(smooth) if s >= min(level, max(smooth))}
+        want = parts[0] + parts[1] if len(chosen) == 2 else parts[chosen.pop()]
+        both += want == parts[0] + parts[1]
+        assert got == want
+    assert 0 < both < 200
+
+
+def test_quality_shapes():
+    words = b"a a a b a b c c".split()
+    found = quality.shapes(words) / quality.GRAM_WEIGHT * 6
+    want = Counter((x == y) + 2 * (y == z) + 4 * (x == z) for x, y, z in zip(words, words[1:], words[2:]))
+    assert {k: round(n) for k, n in enumerate(found.tolist()) if n} == want and not quality.shapes([b"a", b"b"]).any()
 
 
 def test_quality_learns():
