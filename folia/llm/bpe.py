@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folia.llm.common import slices, struct_array, table, utf8
+from folia.llm.common import bounded, slices, struct_array, table, unused, utf8
 
 NONE = 1 << 30
 #: Pieces of more bytes than this get a tree of their own.
@@ -219,6 +219,7 @@ def _tokenizer(ranks: bytes, pattern: str) -> Tokenizer:
 
 
 def _column(spark: SparkSession, ranks_path: str, pattern: str, with_ids: bool):
+    bounded(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
     kind = "struct<n_tokens:long,ids_sha256:string,decoded_sha256:string" + (",ids:array<int>>" if with_ids else ">")
 
@@ -251,6 +252,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True
     return docs.withColumn("bpe", _column(docs.sparkSession, ranks_path, pattern, with_ids)(utf8()))
 
 
+def tokenized(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """The rows' own columns, then n_tokens, ids_sha256, decoded_sha256 and ids; underscores precede names that the rows have."""
+    name = unused("bpe", docs.columns)
+    rows = docs.withColumn(name, _column(docs.sparkSession, ranks_path, pattern, True)(utf8()))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(name)[c].alias(unused(c, docs.columns)) for c in ("n_tokens", "ids_sha256", "decoded_sha256", "ids")])
+
+
 def decode(rows: DataFrame, ids: str, ranks_path: str, pattern: str, out: str = "decoded") -> DataFrame:
     """The rows with the bytes that an array column of ids stands for; a null array stays null."""
     ranks = rows.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))

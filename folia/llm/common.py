@@ -12,20 +12,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Bytes of an Arrow batch, whatever the length of texts: what a task's two processes hold of its rows at once.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Has Spark send batches of BATCH_BYTES to Python, unless the cluster's configuration says otherwise."""
+    if spark.sparkContext.getConf().get(BATCH_KEY) is None:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Where the cluster names none, one is set: a temporary folder in local mode, a folder
-    of the warehouse otherwise (never a machine-local temporary folder on a cluster).
+    In local mode, where there are no other machines, a temporary folder is set if there is none.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        local = spark.sparkContext.master.split("[")[0] == "local"
-        found = tempfile.mkdtemp(prefix="folia-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_folia"
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="folia-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -45,6 +56,7 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     The shuffle files of the work that is written are of no more use, and are dropped at once.
     """
     spark = df.sparkSession
+    bounded(spark)
     path = scratch(spark, name)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
@@ -55,6 +67,14 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A column name like ``name`` that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def utf8(column: str = "text"):
     """The column's UTF-8 bytes, null as no bytes."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))

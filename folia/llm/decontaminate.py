@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folia.llm.common import slices, struct_type, table, utf8
+from folia.llm.common import bounded, slices, struct_type, table, utf8
 
 K1, B = 1.2, 0.75
 #: Words of a unit, of a passage and between passages: a unit's copy lies whole in some passage.
@@ -207,6 +207,7 @@ def _searched(spark: SparkSession, items: list[tuple[int, str]]):
 
 def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", piece_bytes: int = PIECE_BYTES) -> Column:
     """A column of all verified hits of a row of docs: an array, empty for clean rows."""
+    bounded(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item"))
     total = items.agg(F.sum(F.octet_length("item"))).first()[0] or 0
     pieces = max(1, math.ceil(total / piece_bytes))

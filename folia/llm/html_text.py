@@ -5,16 +5,19 @@ element's own text. Each line has a text-to-tag ratio; the ratios are smoothed w
 and lines at or above the threshold (the standard deviation of the ratios) form the content
 regions. The article is the element that holds those regions, with every line in it:
 short paragraphs between long ones belong to it whatever their ratio. Lines of elements whose
-tag, role or class says menu, header, footer, sidebar, notice, advert, form or comments never count.
+tag, role or class says menu, header, footer, sidebar, notice, advert, form or comments never count:
+ratios alone can't tell a footer of a sentence from a paragraph of a word.
 
 A null or empty page, and one without any such line, gives the empty text. Rows are worked on
-each by itself, whole; repeated rows give repeated results.
+each by itself, whole, in time that grows with the page however deep it is nested; repeated rows
+give repeated results, an empty table an empty one. Of equal ratios all are chosen or none.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -57,8 +60,8 @@ MARKS = frozenset(
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 SPACE = re.compile(r"\s+")
 SIGMA, REACH = 1.0, 2
-#: Share of the regions' text that must lie in an article or main for it to be the root.
-SHARE = 0.9
+#: Elements that hold a paragraph's own text are no articles.
+PARTS = frozenset("p h1 h2 h3 h4 h5 h6 li td tr".split())
 
 
 def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -87,11 +90,14 @@ def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class _Lines(HTMLParser):
-    """Lines of (text, tags, characters in links, numbers of the open elements); elements: (tag, parent)."""
+    """Lines of (text, tags, characters in links, number of the element); elements by number, in the order of their starts: (tag, parent), and the number after their last descendant's."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.elements: list[tuple[str, int]] = [("", -1)]
+        self.ends: list[int] = [0]
+        self.opened: Counter = Counter()  # tags that are open
+        self.blocks = [0]  # numbers of the open block elements
         self.open: list[tuple[str, int, bool]] = []  # tag, number, marked
         self.marked = self.links = 0
         self.parts: list[str] = []
@@ -112,15 +118,20 @@ class _Lines(HTMLParser):
 
     def _pop(self, depth: int) -> None:
         while len(self.open) > depth:
-            tag, _, marked = self.open.pop()
+            tag, number, marked = self.open.pop()
+            self.ends[number] = len(self.elements)
+            self.opened[tag] -= 1
             self.marked -= marked
             self.links -= tag == "a"
             if tag in BLOCK:
                 self.flush()
+                self.blocks.pop()
 
     def _implied(self, tag: str) -> None:
         """Ends that a start tag implies."""
         names = ENDS.get(tag, ())
+        if not any(self.opened[x] for x in names) and not (self.opened["p"] and tag in ENDS_P):
+            return None
         for k in range(len(self.open) - 1, -1, -1):
             name = self.open[k][0]
             if name in names:
@@ -144,8 +155,12 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         self.elements.append((tag, self._number()))
+        self.ends.append(0)
         marked = _marked(tag, attrs)
         self.open.append((tag, len(self.elements) - 1, marked))
+        self.opened[tag] += 1
+        if tag in BLOCK:
+            self.blocks.append(len(self.elements) - 1)
         self.marked += marked
         self.links += tag == "a"
 
@@ -157,7 +172,7 @@ class _Lines(HTMLParser):
         if tag == "br":
             self.parts.append(" ")
             return
-        for k in range(len(self.open) - 1, -1, -1):
+        for k in range(len(self.open) - 1, -1, -1) if self.opened[tag] else ():
             name = self.open[k][0]
             if name == tag:
                 return self._pop(k)
@@ -173,17 +188,11 @@ class _Lines(HTMLParser):
         if not self.parts:
             if data.isspace():
                 return
-            self.at = self._block()
+            self.at = self.blocks[-1]
         self.parts.append(data)
         if self.links:
             self.linked += len(data.strip())
 
-    def _block(self) -> int:
-        for tag, number, _ in reversed(self.open):
-            if tag in BLOCK:
-                return number
-        return 0
-
 
 def _smoothed(ratios: list[float]) -> list[float]:
     weights = [math.exp(-k * k / (2 * SIGMA * SIGMA)) for k in range(-REACH, REACH + 1)]
@@ -201,6 +210,7 @@ def main_text(html: str) -> str:
     parser.close()
     parser._pop(0)
     parser.flush()
+    parser.ends[0] = len(parser.elements)
     lines = parser.lines
     if not lines:
         return ""
@@ -208,29 +218,21 @@ def main_text(html: str) -> str:
     mean = sum(ratios) / len(ratios)
     level = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
     smooth = _smoothed(ratios)
-    chosen = [i for i, s in enumerate(smooth) if s >= min(level, max(smooth))]
-    weight: dict[int, int] = {}
-    path: dict[int, list[int]] = {}
-    for text, _, linked, at in lines:
-        if at not in path:
-            up, k = [], at
-            while k >= 0:
-                up.append(k)
-                k = parser.elements[k][1]
-            path[at] = up
+    level = min(level, max(smooth))
+    chosen = [i for i, s in enumerate(smooth) if s >= level]
+    weight = [0] * len(parser.elements)  # of the chosen lines of an element and of all within
     for i in chosen:
         text, _, linked, at = lines[i]
-        for k in path[at]:
-            weight[k] = weight.get(k, 0) + max(1, len(text) - linked)
-    total = weight[0]
-    holders = [k for k in weight if parser.elements[k][0] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "tr")]
-    k = max(k for k in holders if weight[k] >= SHARE * total)
-    root = max(k for k in holders if weight[k] == total)  # without an article, all chosen lines count
+        weight[at] += max(1, len(text) - linked)
+    for k in range(len(weight) - 1, 0, -1):
+        weight[parser.elements[k][1]] += weight[k]
+    holders = [k for k in range(len(weight)) if weight[k] == weight[0] and parser.elements[k][0] not in PARTS]
+    root = k = holders[-1]  # the lowest that holds all chosen lines, unless that stands in an article
     while k >= 0:
         if parser.elements[k][0] in ARTICLE:
             root = k
         k = parser.elements[k][1]
-    return "\n".join(text for text, _, _, at in lines if root in path[at])
+    return "\n".join(text for text, _, _, at in lines if root <= at < parser.ends[root])
 
 
 @F.arrow_udf(struct_type(text=T.StringType(), n_chars=T.LongType()))

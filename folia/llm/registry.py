@@ -14,4 +14,4 @@ def collect() -> tuple[dict, dict]:
         module = importlib.import_module(f"folia.llm.{name}")
         queries |= module.QUERIES
         sql |= module.SQL
-    return queries, sql
+    return queries, sql | importlib.import_module("folia.llm.oracles").SQL

@@ -2,17 +2,21 @@
 
 For each (lang, source) the vectors of transformed text statistics get a minimum-covariance-
 determinant estimate of centre and scatter, and a text is rejected if its Mahalanobis distance
-is beyond the cutoff. The estimate covers every row: from medians and median deviations (of
-exact histograms), each concentration step is one aggregation over all rows, in which rows are
-counted and summed up by distance bin; the bins up to the one that completes the half-set
-give the next centre and scatter. A group of fewer than ``LEAST`` rows takes its language's
-estimate; if that has too few as well, the estimate over all rows of all languages, however many.
+is beyond the cutoff. The estimate covers every row. It is begun twice, from medians and median
+deviations (of exact histograms) and from the mean and scatter of all rows. Each concentration
+step is one aggregation over all rows, in which rows are counted and summed up by distance bin;
+the bins up to the one that completes the half-set (ties within a bin all count) give the next
+centre and scatter. Steps go on until no determinant falls by over 1 %, and of a group's two
+estimates the one of the lesser determinant stands. A group of fewer than ``LEAST`` rows takes
+its language's estimate; if that has too few as well, the estimate over all rows of all
+languages, however many. The column ``estimate`` says which it was.
 
 Nothing of the size of the input reaches a task or the driver: a group, whatever share of the
 rows it holds, is summed up in partial aggregates and arrives as at most ``BINS`` rows.
 
 A null text has no words, null lang and source are groups like others (with the empty name).
-Repeated rows get the same verdict; an empty table gives an empty table.
+Texts are taken whole, however long. Repeated rows get the same verdict; an empty table gives an
+empty table. Columns of any other names are left alone.
 """
 
 from __future__ import annotations
@@ -30,11 +34,13 @@ from pyspark.sql import types as T
 from folia.llm.common import slices, stored, struct_array, struct_type, table, utf8
 
 LEAST_WORDS, MOST_REPEATED = 50, 0.5
-#: Share of a group that the estimate is drawn from, concentration steps, least rows of a group.
-HALF, STEPS, LEAST = 0.75, 4, 20
+#: Share of a group that the estimate is drawn from, concentration steps at most, least rows of a group.
+HALF, STEPS, LEAST = 0.75, 10, 20
+#: Fall of a determinant, as a logarithm, below which it counts as settled.
+SETTLED = 0.01
 #: Normal quantile of the cutoff, in terms of chi-square.
 QUANTILE = 5.0
-#: The statistics, their largest value, and the least deviation that counts as one.
+#: The statistics, the end of their histograms, and the least deviation that counts as one.
 STATISTICS = {"word_length": (8.0, 0.08), "symbols": (4.0, 0.07), "capitals": (1.0, 0.06), "marks": (4.0, 0.12)}
 P, BINS = len(STATISTICS), 2048
 
@@ -75,19 +81,21 @@ def base_failed(s: Column) -> Column:
 
 
 def vector(s: Column) -> list[Column]:
-    """Transformed statistics, each within 0 and its largest value."""
+    """Transformed statistics, none below 0."""
     words = F.greatest(s["n_words"], F.lit(1)).cast("double")
     chars = F.greatest(s["word_chars"], F.lit(1)).cast("double")
     raw = [F.log(chars / words), F.sqrt(s["n_symbols"] / words), F.sqrt(s["n_capitals"] / chars), F.sqrt(s["n_marks"] / words)]
-    return [F.least(F.greatest(v, F.lit(0.0)), F.lit(most)) for v, (most, _) in zip(raw, STATISTICS.values())]
+    return [F.greatest(v, F.lit(0.0)) for v in raw]
 
 
-MODEL = "lang string, source string, n long, mean array<double>, inverse array<double>"
+#: start: 0 from medians, 1 from means; det: logarithm of the scatter's determinant.
+MODEL = "lang string, source string, start int, n long, mean array<double>, inverse array<double>, det double"
 
 
 def _model(key: tuple, n: int, mean: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
-    inverse = np.linalg.inv(cov + np.diag([least * least for _, least in STATISTICS.values()]))
-    return pd.DataFrame({"lang": [key[0]], "source": [key[1]], "n": [n], "mean": [mean.tolist()], "inverse": [inverse.ravel().tolist()]})
+    cov = cov + np.diag([least * least for _, least in STATISTICS.values()])
+    inverse, det = np.linalg.inv(cov), float(np.linalg.slogdet(cov)[1])
+    return pd.DataFrame({"lang": [key[0]], "source": [key[1]], "start": [key[2]], "n": [n], "mean": [mean.tolist()], "inverse": [inverse.ravel().tolist()], "det": [det]})
 
 
 def _middle(value: np.ndarray, n: np.ndarray) -> float:
@@ -103,7 +111,7 @@ def _start(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         value, n = (own["bin"].to_numpy() + 0.5) * most / BINS, own["n"].to_numpy()
         mean[d] = _middle(value, n)
         spread[d] = 1.4826 * _middle(np.abs(value - mean[d]), n)
-    return _model(key, int(rows[rows["dim"] == 0]["n"].sum()), mean, np.diag(spread * spread))
+    return _model((*key, 0), int(rows[rows["dim"] == 0]["n"].sum()), mean, np.diag(spread * spread))
 
 
 def chi_square(quantile: float, p: int) -> float:
@@ -177,14 +185,21 @@ def fit(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     x = [F.col(f"x{i}") for i in range(P)]
     cells = [F.struct(F.lit(i).alias("dim"), F.least(F.floor(x[i] * (BINS / most)), F.lit(BINS - 1)).cast("int").alias("bin")) for i, (most, _) in enumerate(STATISTICS.values())]
     counts = good.select("lang", "source", F.explode(F.array(*cells)).alias("c")).groupBy("lang", "source", "c.dim", "c.bin").agg(F.count("*").alias("n"))
-    models = stored(counts.groupBy("lang", "source").applyInPandas(_start, MODEL), "model")
+    medians = counts.groupBy("lang", "source").applyInPandas(_start, MODEL)
     sums = [F.sum(x[i]).alias(f"s{i}") for i in range(P)] + [F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i in range(P) for j in range(i, P)]
-    for _ in range(STEPS):
-        m = models.select(F.col("lang").alias("l"), F.col("source").alias("g"), F.struct("mean", "inverse").alias("m"))
-        met = good.join(m, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("g")))
+    of_all = good.groupBy("lang", "source").agg(F.count("*").alias("n"), *sums).withColumns({"start": F.lit(1), "bin": F.lit(0)})
+    models = stored(medians.unionByName(of_all.groupBy("lang", "source", "start").applyInPandas(_step, MODEL)), "model")
+    for k in range(STEPS):
+        m = models.select(F.col("lang").alias("l"), F.col("source").alias("g"), "start", F.struct("mean", "inverse").alias("m"), F.col("det").alias("before"))
+        same = F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("g"))
         bins = F.least(F.floor(F.log1p(distance(x, F.col("m"))) * 128), F.lit(BINS - 1)).cast("int").alias("bin")
-        steps = met.groupBy("lang", "source", bins).agg(F.count("*").alias("n"), *sums)
-        models = stored(steps.groupBy("lang", "source").applyInPandas(_step, MODEL), "model")
+        steps = good.join(m, same).groupBy("lang", "source", "start", bins).agg(F.count("*").alias("n"), *sums)
+        models = stored(steps.groupBy("lang", "source", "start").applyInPandas(_step, MODEL), "model")
+        fall = models.join(m.withColumnRenamed("start", "s"), same & (F.col("start") == F.col("s"))).agg(F.max(F.col("before") - F.col("det"))).first()[0]
+        if fall is None or k and fall < SETTLED:
+            break
+    least = models.groupBy("lang", "source").agg(F.min_by(F.struct("n", "mean", "inverse", "det"), F.struct("det", "start")).alias("m"))
+    models = stored(least.select("lang", "source", "m.*"), "model")
     return rows, models
 
 
@@ -196,30 +211,38 @@ def verdicts(rows: DataFrame, models: DataFrame, s: Column | dict) -> DataFrame:
     of_all = models.filter(F.col("lang").isNull()).select(F.struct("mean", "inverse").alias("_all"))
     rows = rows.join(of_group, ["_lang", "_source"], "left").join(of_lang, "_lang", "left").join(F.broadcast(of_all), F.lit(True), "left")
     d = distance(vector(s), F.coalesce(F.col("_own"), F.col("_wide"), F.col("_all")))
+    used = F.when(F.col("_own").isNotNull(), "source").when(F.col("_wide").isNotNull(), "language").when(F.col("_all").isNotNull(), "all")
     failed = base_failed(s)
-    return rows.select("*", failed.alias("base_failed"), d.alias("distance"), (~failed & F.coalesce(d <= chi_square(QUANTILE, P), F.lit(True))).alias("kept"))
+    return rows.select("*", failed.alias("base_failed"), used.alias("estimate"), d.alias("distance"), (~failed & F.coalesce(d <= chi_square(QUANTILE, P), F.lit(True))).alias("kept"))
 
 
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, the statistics, base_failed, distance and kept of each row."""
+    """doc_id, the statistics, base_failed, the estimate used, distance and kept of each row."""
     rows, models = fit(docs, text)
     rows = rows.withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    return verdicts(rows, models, {n: F.col(n) for n in NAMES}).select("doc_id", *NAMES, "base_failed", "distance", "kept")
+    return verdicts(rows, models, {n: F.col(n) for n in NAMES}).select("doc_id", *NAMES, "base_failed", "estimate", "distance", "kept")
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows that are kept, with their own columns; texts stay where they are, only models move."""
     _, models = fit(docs, text)
     lang, source = _keys()
-    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), lang.alias("_lang"), source.alias("_source"), stats(utf8(text)).alias("_s"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), lang.alias("_lang"), source.alias("_source"), stats(utf8(text)).alias("_s"))
     return verdicts(whole, models, F.col("_s")).filter("kept").select("_row.*")
 
 
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "estimate", "distance"
     )
 
 
-QUERIES = {"op8_rules": op8_rules}
+def rules_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8_rules that don't hang on estimates."""
+    s = {n: F.col(n) for n in NAMES}
+    rows = table(spark, sf_dir, "documents").select("doc_id", stats(utf8()).alias("s")).select("doc_id", "s.*")
+    return rows.select("doc_id", *NAMES[:5], base_failed(s).alias("base_failed"))
+
+
+QUERIES = {"op8_rules": op8_rules, "rules_base_columns": rules_base_columns}
 SQL: dict[str, str] = {}

@@ -5,8 +5,10 @@ ledger keeps one row for each blob and version of the rules that was scanned, fi
 A run scans only the pairs that the ledger lacks, each blob once however many rows hold it,
 appends them, and joins the ledger's findings back to all rows.
 
-A null text is the empty blob. Repeated rows share a blob and all get its findings; an empty
-table gives an empty table. One writer at a time may append to a ledger; an append is a
+A null text is the empty blob. Texts are scanned whole, however long. Repeated rows share a blob and
+all get its findings; an empty table gives an empty table. Of each blob a task sends one copy at
+most, so a text that a third of all rows have is no hot task; its findings are joined back to rows
+by hash without their texts. One writer at a time may append to a ledger; an append is a
 committed write, so a lost executor or a failed run leaves no part of it.
 """
 
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folia.llm.common import scratch, slices, table, utf8
+from folia.llm.common import bounded, scratch, slices, table, unused, utf8
 
 #: Raised whenever a rule changes: blobs scanned under another version are scanned anew.
 RULES_VERSION = 1
@@ -108,6 +110,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def update_ledger(docs: DataFrame, ledger: str, version: int = RULES_VERSION) -> DataFrame:
     """Scans what the ledger at path ``ledger`` lacks of the rows' blobs, appends it, and returns the ledger's rows of this version."""
     spark = docs.sparkSession
+    bounded(spark)
     packs = docs.select(utf8().alias("b")).mapInArrow(_packed, "blob binary, pack binary")
     if _exists(spark, ledger):
         packs = packs.join(spark.read.parquet(ledger).filter(F.col("rules") == version).select("blob"), "blob", "left_anti")
@@ -115,16 +118,28 @@ def update_ledger(docs: DataFrame, ledger: str, version: int = RULES_VERSION) ->
     return spark.read.parquet(ledger).filter(F.col("rules") == version).drop("rules")
 
 
-def scan(docs: DataFrame, ledger: str | None = None, version: int = RULES_VERSION) -> DataFrame:
-    """The rows with a column ``secrets``: n_assign, n_access, n_hex, base_sha256, spans of their text.
+def scan(docs: DataFrame, ledger: str | None = None, version: int = RULES_VERSION, out: str = "secrets") -> DataFrame:
+    """The rows with a column ``out``: n_assign, n_access, n_hex, base_sha256, spans of their text.
 
     ledger: a path in storage that all executors share, or a fresh one for this run alone.
-    A column named ``secrets`` or ``_blob`` in the rows is replaced; others stay.
+    A column named ``out`` in the rows is replaced; all others stay.
     """
     found = update_ledger(docs, ledger or scratch(docs.sparkSession, "ledger"), version)
-    found = found.select(F.col("blob").alias("_blob"), F.struct("n_assign", "n_access", "n_hex", "base_sha256", "spans").alias("secrets"))
-    rows = docs.drop("secrets", "_blob").withColumn("_blob", F.unhex(F.sha2(utf8(), 256)))
-    return rows.join(found, "_blob", "left").drop("_blob")
+    blob = unused("_blob", docs.columns)
+    found = found.select(F.col("blob").alias(blob), F.struct("n_assign", "n_access", "n_hex", "base_sha256", "spans").alias(out))
+    rows = docs.drop(out).withColumn(blob, F.unhex(F.sha2(utf8(), 256)))
+    return rows.join(found, blob, "left").drop(blob)
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    """The rows, all of them, with their own columns; secrets are replaced by a mark in the text, and n_chars follows."""
+    name = unused("secrets", docs.columns)
+    found = scan(docs, out=name)
+    some = F.coalesce(F.col(name)["spans"] != "", F.lit(False))
+    text = unused("_clean", found.columns)
+    found = found.withColumn(text, F.when(some, redacted(F.col("text"), F.when(some, F.col(name)["spans"]))).otherwise(F.col("text")))
+    n_chars = F.when(some, F.length(text).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    return found.select(*[{"text": F.col(text), "n_chars": n_chars}.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 MARK = "[secret]"
@@ -134,7 +149,7 @@ MARK = "[secret]"
 def redacted(texts: pa.Array, spans: pa.Array) -> pa.Array:
     """The texts with each run of overlapping spans replaced by ``MARK``."""
     out = []
-    for text, joined in zip(texts.to_pylist(), spans.to_pylist()):
+    for text, joined in ((texts[k].as_py(), spans[k].as_py()) for k in range(len(texts))):
         if text is not None and joined:
             parts, end = [], 0
             for _, a, b in (s.split(":") for s in joined.split(",")):

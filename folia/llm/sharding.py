@@ -17,8 +17,8 @@ from folia.llm.common import stored, table
 MULTIPLIER_HIGH, MULTIPLIER_LOW = 0x27BB2EE6, 0x87B0B0FD
 
 LOW32, LOW16 = 0xFFFFFFFF, 0xFFFF
-#: Rows are numbered in this many independent pieces of each shard.
-PIECES_PER_SHARD = 64
+#: Rows are numbered in independent pieces of each shard: at least so many, of about so many rows each.
+PIECES_PER_SHARD, PIECE_ROWS = 64, 1 << 20
 
 
 def _next(high: Column, low: Column) -> tuple[Column, Column]:
@@ -64,28 +64,31 @@ def jump_shards(key: Column, counts: list[int]) -> Column:
 def shard(docs: DataFrame, shards: int, key: Column | None = None, text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of each row.
 
-    key: what decides the shard; hashed doc_id by default, of which null is a value like any other.
+    key: what decides the shard; the first 64 bits of the MD5 of doc_id by default, of which null is a value like any other.
     size: UTF-8 bytes plus 8; a null text has none and crc32 0. slot: gapless from 0 within a shard, in
-    order of (piece, doc_id, size, crc); rows alike in these may swap. Repeated rows get a slot each.
-    Columns of other names, and names this function uses within, are not carried over.
+    order of (piece, doc_id, size, crc); rows alike in these may swap. Repeated rows get a slot each. Texts
+    are taken whole; an empty table gives an empty one. Columns of other names, and names this function
+    uses within, are not carried over.
 
-    Slots take no pass through one task a shard: rows are numbered within pieces (hashes of
-    the row) and the pieces' counts are summed up, of which there are shards * PIECES_PER_SHARD.
+    Slots take no pass through one task a shard: rows are numbered within pieces (hashes of doc_id;
+    null ids, of which there may be many, are dealt by row) and the pieces' counts are summed up.
+    Pieces grow in number with the rows, not in size.
     """
-    key = F.xxhash64("doc_id") if key is None else key
+    name = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    key = F.conv(F.substring(name, 1, 16), 16, -10).cast("long") if key is None else key
     rows = docs.select(
         "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).alias("size"),
         F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0).cast("long")).alias("text_crc32"), jump_shards(key, [shards, shards + 1]).alias("jumps"),
+        F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.conv(F.substring(name, 17, 8), 16, 10).cast("long")).alias("dealt"),
     )
-    rows = stored(rows.select(
-        "doc_id", "size", "text_crc32", F.col("jumps")[0].alias("shard"), F.col("jumps")[1].alias("grown_shard"),
-        F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(7)), F.lit(PIECES_PER_SHARD)).cast("int").alias("piece"),
-    ), "shard")
+    rows = stored(rows.select("doc_id", "size", "text_crc32", "dealt", F.col("jumps")[0].alias("shard"), F.col("jumps")[1].alias("grown_shard")), "shard")
+    pieces = max(PIECES_PER_SHARD, rows.count() // (shards * PIECE_ROWS))
+    rows = rows.withColumn("piece", F.pmod("dealt", F.lit(pieces)))
     counts = rows.groupBy("shard", "piece").agg(F.count("*").alias("n"))
     before = counts.select("shard", "piece", (F.sum("n").over(Window.partitionBy("shard").orderBy("piece")) - F.col("n")).alias("before"))
     within = F.row_number().over(Window.partitionBy("shard", "piece").orderBy("doc_id", "size", "text_crc32")) - 1
     numbered = rows.withColumn("within", within)
-    # The second side has shards * PIECES_PER_SHARD rows of 20 bytes, whatever the input.
+    # The second side has a row of 20 bytes for each PIECE_ROWS rows, or shards * PIECES_PER_SHARD.
     return numbered.join(F.broadcast(before), ["shard", "piece"]).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("within")).alias("slot"), "grown_shard"
     )

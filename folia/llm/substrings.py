@@ -442,7 +442,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", parts: int | None = None
     back = stored(dealt(known.mapInArrow(_entries(parts), ROW)).mapInArrow(_settled(parts), ROW), "repeats")
     texts = known.mapInArrow(_texts(parts), ROW)
     found = stored(sorted_(back.filter(F.col("kind") == BACK).unionByName(texts)).mapInArrow(_refined(parts), ROW), "windows")
-    hits = dealt(found.filter(F.col("kind") == WINDOWS)).mapInArrow(_matched(parts), ROW)
+    hits = stored(dealt(found.filter(F.col("kind") == WINDOWS)).mapInArrow(_matched(parts), ROW), "hits")
     spans = back.filter(F.col("kind") == SPANS).unionByName(found.filter(F.col("kind") == SPANS)).unionByName(hits)
     return sorted_(spans.unionByName(docs.mapInArrow(_texts(parts), ROW))).mapInArrow(_removed(with_text), RESULT)
 
