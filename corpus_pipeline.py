@@ -2,12 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and gets the rows that the stage before kept, written as
 Parquet and read again. All but the last return the columns of documents.
+
+A null or empty text fails the quality rules. Repeated rows, and copies, leave the one of the least
+doc_id; of rows that repeat that id all stay. Texts are worked on whole, however long. Extra columns
+pass through all stages, whatever their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from folia.llm import bpe, decontaminate, minhash, rules, secrets
 from folia.llm.common import stored, table
@@ -20,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the row with the least doc_id stays."""
-    return minhash.deduplicated(docs)
+    return minhash.deduplicated(docs, size=4)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,16 +33,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark, in the text and so in n_chars; no row goes."""
-    found = secrets.scan(docs)
-    some = F.coalesce(F.col("secrets.spans") != "", F.lit(False))
-    text = F.when(some, secrets.redacted(F.col("text"), F.when(some, F.col("secrets.spans")))).otherwise(F.col("text"))
-    n_chars = F.when(some, F.length("_clean").cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumn("_clean", text).select(*[{"text": F.col("_clean"), "n_chars": n_chars}.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return secrets.cleaned(docs)
 
 
 def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, with digests of the ids and of what they decode to."""
-    return bpe.encode(docs, *bpe.public_ranks()).select(*docs.columns, "bpe.*")
+    return bpe.tokenized(docs, *bpe.public_ranks())
 
 
 STAGES = [
@@ -50,7 +49,7 @@ STAGES = [
     ("tokenization", tokenization),
 ]
 
-#: SQL can express neither the outlier estimates nor the merges; tests hold run() against brute force.
+#: SQL can express neither the outlier estimates nor the merges; tests/llm/test_pipeline.py holds run() against brute force.
 ORACLE_SQL = None
 
 
