@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from folia.functions import drawing, scans
 from folia.functions import images as kernel
-from folia.functions import scans
 from folia.functions.text import font_name
 from folia.operators.fields import BPG, ebcdic_text, in_file
 from folia.operators.layout import UPI, floor_scale, objects, signed, unsigned, with_owner
 
-BIM, EIM, IPD, BBC, EBC, BDD, BDA, BGR, EGR, GAD = 0xD3A8FB, 0xD3A9FB, 0xD3EEFB, 0xD3A8EB, 0xD3A9EB, 0xD3A6EB, 0xD3EEEB, 0xD3A8BB, 0xD3A9BB, 0xD3EEBB
+BIM, EIM, IPD, BBC, EBC, BDD, BDA, BGR, EGR, GAD, GDD = 0xD3A8FB, 0xD3A9FB, 0xD3EEFB, 0xD3A8EB, 0xD3A9EB, 0xD3A6EB, 0xD3EEEB, 0xD3A8BB, 0xD3A9BB, 0xD3EEBB, 0xD3A6BB
 BOC, EOC, OCD, OBD, OBP, IOB, BRS, ERS, BPS, EPS = 0xD3A892, 0xD3A992, 0xD3EE92, 0xD3A66B, 0xD3AC6B, 0xD3AFC3, 0xD3A8CE, 0xD3A9CE, 0xD3A85F, 0xD3A95F
 BCP, CPI, ECP, BFN, EFN, FNC, FND, FNI, FNM, FNG, FNN = 0xD3A887, 0xD38C87, 0xD3A987, 0xD3A889, 0xD3A989, 0xD3A789, 0xD3A689, 0xD38C89, 0xD3A289, 0xD3EE89, 0xD3AB89
 
@@ -173,6 +173,33 @@ def drawing_orders(fields: DataFrame) -> DataFrame:
     return whole.select("path", "object", F.posexplode(_coded(scans.orders)("d")).alias("order_seq", "o")).select("path", "object", "order_seq", "o.*")
 
 
+DRAWN = T.StructType([T.StructField(n, T.IntegerType()) for n in ("width", "height", "shapes")] + [T.StructField("svg", T.StringType())])
+
+
+@F.arrow_udf(DRAWN)
+def drawn(descriptor: pa.Array, orders: pa.Array) -> pa.Array:
+    rows = [None if d is None else drawing.drawn(d, o or b"") for d, o in zip(descriptor.to_pylist(), orders.to_pylist())]
+    return pa.array(rows, pa.struct([("width", pa.int32()), ("height", pa.int32()), ("shapes", pa.int32()), ("svg", pa.string())]))
+
+
+def graphics(fields: DataFrame) -> DataFrame:
+    """(path, page_idx, item_seq, x, y, width, height, window_width, window_height, shapes, svg): drawings on pages, in the page's units."""
+    pages = objects(fields).filter("kind = 'page'").select("path", "owner", "page_idx", F.col("upi").alias("page_upi"))
+    rows = with_owner(fields.filter(F.col("sf_id").isin(BGR, EGR, GAD, GDD, OBD, OBP, BPG, 0xD3A9AF, 0xD3A8DF, 0xD3A9DF)))
+    last = lambda kind: F.max(F.when(F.col("sf_id") == kind, F.struct("field_seq", "data")))["data"]
+    closed = F.max(F.when(F.col("sf_id") == EGR, F.struct("field_seq", "owner")))
+    found = bracketed(rows, BGR, EGR).groupBy("path", "object").agg(closed.alias("end"), payload(GAD).alias("gad"), last(GDD).alias("gdd"), last(OBD).alias("obd"), last(OBP).alias("obp"))
+    found = found.filter(F.col("end.owner").isNotNull()).withColumns({"d": drawn("gdd", "gad"), "area": object_area("obd")}).filter(F.col("d").isNotNull())
+    found = found.withColumn("owner", F.col("end.owner")).join(pages, ["path", "owner"])
+    upi = F.coalesce("area.upi", "page_upi")
+    place = lambda at: F.coalesce(F.when(F.octet_length("obp") >= 8, signed(F.col("obp"), at, 3)), F.lit(0))
+    return found.select(
+        "path", "page_idx", F.col("end.field_seq").alias("item_seq"), place(2).alias("x"), place(5).alias("y"),
+        floor_scale(F.col("area.width"), upi, F.col("page_upi")).alias("width"), floor_scale(F.col("area.height"), upi, F.col("page_upi")).alias("height"),
+        F.col("d.width").alias("window_width"), F.col("d.height").alias("window_height"), "d.shapes", "d.svg",
+    )
+
+
 def image_fields(fields: DataFrame) -> DataFrame:
     """(path, object, sdf_seq, code, operand) of image objects."""
     whole = bracketed(fields.filter(F.col("sf_id").isin(BIM, EIM, IPD)), BIM, EIM).groupBy("path", "object").agg(payload(IPD).alias("d"))

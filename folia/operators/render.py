@@ -71,7 +71,7 @@ def text_marks(texts: DataFrame) -> DataFrame:
     bold = F.when(F.col("font_weight") == "bold", F.lit(' font-weight="bold"')).otherwise(F.lit(""))
     head = F.format_string('<text x="%d" y="%d" font-size="%d"', "x", "y", "font_size")
     mark = F.concat(head, family, bold, _attr("data-src", F.col("src")), turn, width, fidelity(F.col("notes")), F.lit(' fill="'), "color", F.lit('">'), escaped(F.col("text")), F.lit("</text>"))
-    return texts.select("path", "page_idx", F.lit(4).alias("layer"), F.col("item_seq").cast("long").alias("seq"), mark.alias("mark"))
+    return texts.select("path", "page_idx", F.lit(5).alias("layer"), F.col("item_seq").cast("long").alias("seq"), mark.alias("mark"))
 
 
 def rule_marks(rules: DataFrame) -> DataFrame:
@@ -94,6 +94,11 @@ def image_marks(images: DataFrame) -> DataFrame:
     return images.select("path", "page_idx", F.lit(3).alias("layer"), F.col("item_seq").cast("long").alias("seq"), mark.alias("mark"))
 
 
+def graphic_marks(graphics: DataFrame) -> DataFrame:
+    frame = F.format_string('<svg x="%d" y="%d" width="%d" height="%d" viewBox="0 0 %d %d" overflow="hidden">', "x", "y", "width", "height", "window_width", "window_height")
+    return graphics.select("path", "page_idx", F.lit(4).alias("layer"), F.col("item_seq").cast("long").alias("seq"), F.concat(frame, "svg", F.lit("</svg>")).alias("mark"))
+
+
 def within_budget(pages: DataFrame, texts: DataFrame, rules: DataFrame) -> DataFrame:
     """Pages up to the one at which the elements so far pass the budget, and to the most pages."""
     counts = texts.select("path", "page_idx").unionByName(rules.select("path", "page_idx")).groupBy("path", "page_idx").agg(F.count("*").alias("elements"))
@@ -102,7 +107,7 @@ def within_budget(pages: DataFrame, texts: DataFrame, rules: DataFrame) -> DataF
     return rows.filter((F.col("before") <= MOST_ELEMENTS) & (F.col("page_idx") < MOST_PAGES)).drop("before", "elements")
 
 
-def svg(pages: DataFrame, texts: DataFrame, rules: DataFrame, images: DataFrame | None = None) -> DataFrame:
+def svg(pages: DataFrame, texts: DataFrame, rules: DataFrame, images: DataFrame | None = None, graphics: DataFrame | None = None) -> DataFrame:
     """(path, page_idx, svg) of the pages within the budget."""
     pages = within_budget(pages, texts, rules)
     head = F.format_string(
@@ -114,6 +119,8 @@ def svg(pages: DataFrame, texts: DataFrame, rules: DataFrame, images: DataFrame
     if images is not None:
         inks = images.filter("bands is not null").select("path", "page_idx").distinct()
         marks = marks.unionByName(image_marks(images)).unionByName(inks.select("path", "page_idx", F.lit(1).alias("layer"), F.lit(0).cast("long").alias("seq"), F.lit(ink_filters()).alias("mark")))
+    if graphics is not None:
+        marks = marks.unionByName(graphic_marks(graphics))
     marks = marks.join(pages.select("path", "page_idx"), ["path", "page_idx"], "left_semi")
     listed = F.array_sort(F.collect_list(F.struct("layer", "seq", "mark")))
     return marks.groupBy("path", "page_idx").agg(F.array_join(F.transform(listed, lambda m: m["mark"]), "").alias("svg"))
