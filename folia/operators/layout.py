@@ -1,5 +1,7 @@
 """Page layout: text runs and rules at their places, overlays, sizes, reading order.
 
+The fields that layout reads are written once with their owners, and so are the controls with
+their state, so each result is planned from a table by itself and no stream is framed again.
 Text controls become rows; what an interpreter would keep as state is a window over them.
 A pen coordinate is a segmented running sum (a control that sets it starts a segment), colour,
 margins, increments, orientation and font are last values, and the font and code page in force
@@ -19,7 +21,8 @@ from pyspark.sql.window import Window
 
 from folia.functions import describe, scans
 from folia.functions.text import LABELS, coded_points, coded_typeface, run_text, substitute
-from folia.operators.fields import BMO, BPG, EMO, EPG, IPO, MDR, MPO, PGD, PTX, coded_fonts, ebcdic_text, in_file, labels
+from folia.operators.fields import BMO, BPG, EMO, EPG, IPO, MCF1, MCF2, MDR, MPO, PGD, PTX, coded_fonts, ebcdic_text, in_file, labels
+from folia.sources.shared import written
 
 WIDTH, HEIGHT, UPI = 12240, 15840, 1440
 MOST_RUNS, ADVANCE = 5000, 0.55
@@ -57,7 +60,9 @@ def floor_scale(v: Column, of: Column, to: Column) -> Column:
 
 
 def with_owner(fields: DataFrame) -> DataFrame:
-    """Adds owner: the field_seq of the page or overlay that a field stands in, or null."""
+    """Adds owner: the field_seq of the page or overlay that a field stands in, or null; kept where it is known."""
+    if "owner" in fields.columns:
+        return fields
     event = F.when(F.col("sf_id").isin(BPG, BMO), F.col("field_seq")).when(F.col("sf_id").isin(EPG, EMO), F.lit(-1))
     last = F.last(event, ignorenulls=True)
     before = last.over(Window.partitionBy("path").orderBy("field_seq").rowsBetween(Window.unboundedPreceding, -1))
@@ -160,6 +165,10 @@ def info_type() -> T.StructType:
     return T.StructType([T.StructField("family", T.StringType()), T.StructField("weight", T.StringType()), T.StructField("size", T.IntegerType()), T.StructField("points", T.DoubleType())])
 
 
+#: Fields that text layout reads.
+READ = (BPG, EPG, BMO, EMO, PGD, PTX, MDR, MCF1, MCF2, MPO, IPO)
+
+
 def controls(fields: DataFrame) -> DataFrame:
     """(path, owner, field_seq, offset, cs_seq, cs_type, params) of all text controls."""
     rows = with_owner(fields.filter(F.col("sf_id").isin(BPG, EPG, BMO, EMO, PTX))).filter(F.col("sf_id") == PTX)
@@ -183,6 +192,37 @@ def decoded(params: pa.Array, codec: pa.Array) -> pa.Array:
     return pa.array(rows, kind)
 
 
+FONT_NAMES = ("info", "mapped", "codec", "note")
+
+
+def fonts_in_force(rows: DataFrame, sizes: DataFrame, fields: DataFrame, faces: DataFrame | None) -> DataFrame:
+    """(path, field_seq, cs_seq, font, font_codec, font_notes, declared) of the runs that name a local id.
+
+    declared: whether the font known when the page ends states a size. An as-of lookup: mappings,
+    runs and ends of pages of a local id are one sequence.
+    """
+    used = rows.filter((F.col("cs_type") == TRN) & F.col("font_id").isNotNull()).select("path", "owner", "field_seq", "cs_seq", F.col("font_id").alias("local_id"))
+    events = font_events(fields, faces)
+    none = {c: F.lit(None).cast(events.schema[c].dataType) for c in FONT_NAMES}
+    ends = used.select("path", "owner", "local_id").distinct().join(sizes.select("path", "owner", "closed"), ["path", "owner"], "left")
+    ends = ends.select("path", "owner", F.coalesce("closed", F.lit((1 << 31) - 1)).alias("field_seq"), F.lit(-2).alias("cs_seq"), "local_id").withColumns(none)
+    both = events.withColumns({"owner": F.lit(None).cast("int"), "cs_seq": F.lit(-1)}).unionByName(used.withColumns(none)).unionByName(ends)
+    e = Window.partitionBy("path", "local_id").orderBy("field_seq", "cs_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumns({
+        "own": F.last("info", ignorenulls=True).over(e), "since": F.coalesce(F.last(F.when(F.col("info").isNotNull(), F.col("field_seq")), ignorenulls=True).over(e), F.lit(-1)),
+        "first": F.first("mapped", ignorenulls=True).over(e), "page": F.last("codec", ignorenulls=True).over(e),
+    }).withColumn("font", F.coalesce("own", "first"))
+    # Distinct notes of a local id since its last map, each with where it was first told: carried once, not by every run.
+    told = both.filter(F.col("note").isNotNull()).groupBy("path", "local_id", "since", "note").agg(F.min("field_seq").alias("at"))
+    told = told.groupBy("path", "local_id", "since").agg(F.array_sort(F.collect_list(F.struct("at", "note"))).alias("told"))
+    stated = F.coalesce(F.col("font.size") > 0, F.lit(False)) | F.coalesce(F.col("font.points") > 0, F.lit(False))
+    closing = both.filter(F.col("cs_seq") == -2).select(F.col("path").alias("p"), F.col("owner").alias("o"), F.col("local_id").alias("l"), stated.alias("declared"))
+    runs = both.filter(F.col("cs_seq") >= 0).join(told, ["path", "local_id", "since"], "left")
+    runs = runs.join(closing, (F.col("path") == F.col("p")) & F.col("owner").eqNullSafe(F.col("o")) & (F.col("local_id") == F.col("l")), "left")
+    notes = F.transform(F.filter("told", lambda x: x["at"] < F.col("field_seq")), lambda x: x["note"])
+    return runs.select("path", "field_seq", "cs_seq", "font", F.col("page").alias("font_codec"), notes.alias("font_notes"), "declared")
+
+
 def with_state(fields: DataFrame, codec: str = "cp500", faces: DataFrame | None = None) -> DataFrame:
     """Controls with the last values in force at them, and with text, font and size at runs."""
     t, p = F.col("cs_type"), F.col("params")
@@ -200,27 +240,18 @@ def with_state(fields: DataFrame, codec: str = "cp500", faces: DataFrame | None
         "font_id": last(SCFL, unsigned(p, 0, 1)), "color": F.coalesce(F.last(color, ignorenulls=True).over(w), F.lit("#000000")),
         "orientation": F.coalesce(last(STO, F.pmod(F.floor(unsigned(p, 0, 2) / 128), F.lit(360)).cast("int")), F.lit(0)),
     })
-    sizes = objects(fields).select("path", "owner", F.col("upi"))
+    sizes = objects(fields)
     upi = F.coalesce("upi", F.lit(UPI))
-    rows = rows.join(sizes, ["path", "owner"], "left").withColumn("upi", upi)
-    # The mappings in force: events and runs of a local id in one sequence, events before.
-    used = rows.filter((t == TRN) & F.col("font_id").isNotNull()).select("path", "field_seq", "cs_seq", F.col("font_id").alias("local_id"))
-    events = font_events(fields, faces)
-    none = {c: F.lit(None).cast(events.schema[c].dataType) for c in ("info", "mapped", "codec", "note")}
-    both = events.withColumn("cs_seq", F.lit(-1)).unionByName(used.withColumns(none))
-    e = Window.partitionBy("path", "local_id").orderBy("field_seq", "cs_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = both.withColumns({
-        "own": F.last("info", ignorenulls=True).over(e), "since": F.coalesce(F.last(F.when(F.col("info").isNotNull(), F.col("field_seq")), ignorenulls=True).over(e), F.lit(-1)),
-        "first": F.first("mapped", ignorenulls=True).over(e), "page": F.last("codec", ignorenulls=True).over(e),
-        "told": F.collect_list(F.when(F.col("note").isNotNull(), F.struct("field_seq", "note"))).over(e),
-    })
-    told = F.array_distinct(F.transform(F.filter("told", lambda x: x["field_seq"] > F.col("since")), lambda x: x["note"]))
-    force = both.filter(F.col("cs_seq") >= 0).select("path", "field_seq", "cs_seq", F.coalesce("own", "first").alias("font"), F.col("page").alias("font_codec"), told.alias("font_notes"))
-    rows = rows.join(force, ["path", "field_seq", "cs_seq"], "left")
+    rows = rows.join(sizes.select("path", "owner", "upi"), ["path", "owner"], "left").withColumn("upi", upi)
+    if fields.filter(F.col("sf_id").isin(MDR, MCF1, MCF2)).isEmpty():  # no file maps a font
+        force = {"font": info_type(), "font_codec": T.StringType(), "font_notes": T.ArrayType(T.StringType()), "declared": T.BooleanType()}
+        rows = rows.withColumns({c: F.lit(None).cast(kind) for c, kind in force.items()})
+    else:
+        rows = rows.join(fonts_in_force(rows, sizes, fields, faces), ["path", "field_seq", "cs_seq"], "left")
     text = decoded(F.when(t == TRN, p), F.coalesce("font_codec", F.lit(codec)))
     points = F.bround(F.col("font.points") * upi / 72).cast("int")
     size = F.coalesce(F.nullif(F.col("font.size"), F.lit(0)), F.nullif(points, F.lit(0)), F.greatest(F.floor(upi / 6), F.lit(8)).cast("int"))
-    rows = rows.withColumns({"run": text, "size": size, "sized": F.coalesce(F.col("font.size") > 0, F.lit(False)) | F.coalesce(F.col("font.points") > 0, F.lit(False))})
+    rows = rows.withColumns({"run": text, "size": size, "sized": F.coalesce("declared", F.lit(False))})
     spaces = F.length("run.text") - F.length(F.replace(F.col("run.text"), F.lit(" "), F.lit("")))
     advance = (F.length("run.text") - spaces) * F.col("size") * ADVANCE + spaces * F.coalesce(F.col("space").cast("double"), F.col("size") * ADVANCE)
     return rows.withColumns({"spaces": spaces, "advance": advance.cast("int")})
@@ -245,6 +276,14 @@ def with_pen(rows: DataFrame) -> DataFrame:
     return rows.drop("set_i", "set_b", "step_i", "step_b", "seg_i", "seg_b")
 
 
+# What the notes on runs say.
+LEFT_OUT = "%d character(s) omitted — code point(s) the %s codec can't map (usually a producer-specific symbol)."
+SUBSTITUTED = "%d glyph(s) the producer couldn't encode in the AFP code page (wrote substitute X'3F') — the original glyphs (e.g. symbol/dingbat font) are absent from this AFP, not just unrendered here."
+NO_CODE_PAGE = "No code page declared for this font — text decoded with the fallback %s."
+ESTIMATED = "Point size not declared — estimated ≈%dpt from the producer's line spacing."
+NOT_INFERABLE = "Point size not declared and not inferable (single line) — using a default of ≈%dpt."
+
+
 def _note(cat: str, message: Column) -> Column:
     return F.struct(F.lit(cat).alias("cat"), message.alias("msg"))
 
@@ -255,10 +294,9 @@ def _texts(rows: DataFrame) -> DataFrame:
     run, text = F.col("run"), F.col("run.text")
     solid = F.length(text) - F.col("spaces")
     notes = [
-        F.when(run["left_out"] > 0, _note("glyph", F.format_string("%d character(s) omitted — code point(s) the %s codec can't map (usually a producer-specific symbol).", run["left_out"], run["codec"]))),
-        F.when((run["substitutes"] >= 3) & (solid > 0) & (run["substitutes"] / solid > 0.5), _note("glyph", F.format_string(
-            "%d glyph(s) the producer couldn't encode in the AFP code page (wrote substitute X'3F') — the original glyphs (e.g. symbol/dingbat font) are absent from this AFP, not just unrendered here.", run["substitutes"]))),
-        F.when((run["codec"] != "utf-16-be") & F.col("font_codec").isNull(), _note("codepage", F.format_string("No code page declared for this font — text decoded with the fallback %s.", run["codec"]))),
+        F.when(run["left_out"] > 0, _note("glyph", F.format_string(LEFT_OUT, run["left_out"], run["codec"]))),
+        F.when((run["substitutes"] >= 3) & (solid > 0) & (run["substitutes"] / solid > 0.5), _note("glyph", F.format_string(SUBSTITUTED, run["substitutes"]))),
+        F.when((run["codec"] != "utf-16-be") & F.col("font_codec").isNull(), _note("codepage", F.format_string(NO_CODE_PAGE, run["codec"]))),
     ]
     told = F.transform(F.coalesce("font_notes", F.array().cast("array<string>")), lambda m: _note("font", m))
     return rows.filter((F.col("cs_type") == TRN) & ~run["blank"]).select(
@@ -304,8 +342,8 @@ def estimated(texts: DataFrame) -> DataFrame:
     clamped = F.greatest(low, F.least(high, guess)).cast("int")
     size = F.when(F.col("sized") | guess.isNull(), F.col("font_size")).otherwise(clamped)
     points = F.bround(size / upi * 72).cast("int")
-    message = F.when(guess.isNotNull(), F.format_string("Point size not declared — estimated ≈%dpt from the producer's line spacing.", points)).otherwise(
-        F.format_string("Point size not declared and not inferable (single line) — using a default of ≈%dpt.", points)
+    message = F.when(guess.isNotNull(), F.format_string(ESTIMATED, points)).otherwise(
+        F.format_string(NOT_INFERABLE, points)
     )
     notes = F.when(F.col("sized"), F.col("notes")).otherwise(F.array_union("notes", F.array(_note("font", message))))
     return rows.withColumns({"notes": notes, "font_size": size}).drop("pitch", "char")
@@ -404,32 +442,35 @@ def implicit_pens(rows: DataFrame, fields: DataFrame) -> DataFrame:
 
 def layout(fields: DataFrame, codec: str = "cp500", faces: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pages, text runs, rules) of all files; runs and rules by (path, page_idx, item_seq), bracketed pages first."""
-    found = objects(fields).persist()
-    state = with_state(fields, codec, faces).persist()  # both kinds of text, and rules, are drawn from it
+    fields = written(with_owner(fields.filter(F.col("sf_id").isin(*READ))), "fields")
+    found = written(objects(fields), "objects")
+    state = written(with_state(fields, codec, faces), "controls")  # both kinds of text, and rules, are drawn from it
     placed_rows = with_pen(state.filter(F.col("owner").isNotNull()))
     texts, rules = _texts(placed_rows), _rules(placed_rows)
     kinds = found.select("path", "owner", "kind")
-    on = inclusions(fields, found)
-    of_overlays = estimated(texts.join(kinds.filter("kind = 'overlay'"), ["path", "owner"], "left_semi"))
-    of_pages = texts.join(kinds.filter("kind = 'page'"), ["path", "owner"], "left_semi")
-    upi = on.select("path", "owner", "upi").distinct()
-    moved = included(of_overlays.drop("upi"), on, ("font_size",)).join(upi, ["path", "owner"])
-    texts = _capped(estimated(of_pages.unionByName(moved)))
-    rules = _capped(rules.join(kinds.filter("kind = 'page'"), ["path", "owner"], "left_semi").unionByName(included(rules.join(kinds.filter("kind = 'overlay'"), ["path", "owner"], "left_semi"), on, ("length", "thickness"))))
-    loose = implicit_pens(state.filter(F.col("owner").isNull()), fields)
-    loose_texts, loose_rules = _capped(estimated(_texts(loose))), _capped(_rules(loose))
+    of = lambda items, kind: items.join(kinds.filter(F.col("kind") == kind), ["path", "owner"], "left_semi")
+    on_pages, rules_on_pages = of(texts, "page"), of(rules, "page")
+    if not fields.filter(F.col("sf_id") == IPO).isEmpty():
+        on = written(inclusions(fields, found), "inclusions")
+        of_overlays = estimated(_capped(of(texts, "overlay"))).drop("item_seq", "more")
+        upi = on.select("path", "owner", "upi").distinct()
+        on_pages = on_pages.unionByName(included(of_overlays.drop("upi"), on, ("font_size",)).join(upi, ["path", "owner"]))
+        rules_on_pages = rules_on_pages.unionByName(included(of(rules, "overlay"), on, ("length", "thickness")))
+    capped, rules = _capped(on_pages), _capped(rules_on_pages)
+    texts = estimated(capped)  # of the runs that are left
     pages = found.filter("kind = 'page'")
+    cut = capped.select("path", "owner", "more").unionByName(rules.select("path", "owner", "more")).groupBy("path", "owner").agg(F.max("more").alias("truncated"))
+    index = pages.select("path", "owner", "page_idx")
+    drop = ("owner", "item", "more", "sized", "upi")
+    texts, rules = (x.join(index, ["path", "owner"]).drop(*drop) for x in (texts, rules))
     counts = pages.groupBy("path").agg(F.count("*").alias("bracketed"))
-    flow = _paginated(loose_texts, loose_rules, fields, counts)
-    cut = texts.select("path", "owner", "more").unionByName(rules.select("path", "owner", "more")).groupBy("path", "owner").agg(F.max("more").alias("truncated"))
     pages = pages.join(cut, ["path", "owner"], "left").select("path", "page_idx", "width", "height", F.col("upi").alias("units_per_inch"), F.coalesce("truncated", F.lit(False)).alias("truncated"), F.lit("bracketed").alias("kind"))
-    index = found.filter("kind = 'page'").select("path", "owner", "page_idx")
-    drop = ("owner", "item", "more", "sized", "upi")
-    return (
-        pages.unionByName(flow[0]),
-        texts.join(index, ["path", "owner"]).drop(*drop).unionByName(flow[1].drop(*drop)),
-        rules.join(index, ["path", "owner"]).drop(*drop).unionByName(flow[2].drop(*drop)),
-    )
+    outside = state.filter(F.col("owner").isNull())
+    if outside.isEmpty():
+        return pages, texts, rules
+    loose = written(implicit_pens(outside, fields), "loose")
+    flow = _paginated(estimated(_capped(_texts(loose))), _capped(_rules(loose)), fields, counts)
+    return pages.unionByName(flow[0]), texts.unionByName(flow[1].drop(*drop)), rules.unionByName(flow[2].drop(*drop))
 
 
 def _paginated(texts: DataFrame, rules: DataFrame, fields: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

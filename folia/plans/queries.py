@@ -55,12 +55,26 @@ def _tags(segments: list[str]) -> bytes:
     return w.document(*[w.record(0xD3A090, name + w.triplet(0x36, b"\0\0" + s.encode("cp500"))) for s in segments])
 
 
+#: Customers of a stream, at most.
+STREAM_ROWS = 1000
+
+
+def by_nation(spark: SparkSession, sf_dir: str, item: Column) -> DataFrame:
+    """(c_nationkey, part, items): a nation's customers in parts of bounded size, whatever their number."""
+    part = F.floor(F.col("c_custkey") / STREAM_ROWS)
+    return table(spark, sf_dir, "customer").groupBy("c_nationkey", part.alias("part")).agg(F.collect_list(item).alias("items"))
+
+
+def document_name() -> Column:
+    return F.concat_ws("-", "c_nationkey", "part")
+
+
 def tle_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers of each nation by segment, counted from index tags."""
-    rows = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.collect_list("c_mktsegment").alias("s"))
-    found = ops.triplets(read(rows, F.col("c_nationkey"), building(_tags)("s"))).filter("id = '0x36'")
+    rows = by_nation(spark, sf_dir, F.col("c_mktsegment"))
+    found = ops.triplets(read(rows, document_name(), building(_tags)("items"))).filter("id = '0x36'")
     value = F.regexp_extract("detail", '^"(.*)"$', 1).alias("segment")
-    return found.groupBy(F.col("path").cast("int").alias("nation"), value).agg(F.count("*").alias("n"))
+    return found.groupBy(F.substring_index("path", "-", 1).cast("int").alias("nation"), value).agg(F.count("*").alias("n"))
 
 
 def _order(lines: list[int]) -> bytes:
@@ -119,6 +133,10 @@ def rules_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.groupBy(F.col("path").cast("long").alias("l_orderkey")).agg(F.count("*").alias("n"), F.sum("length").cast("long").alias("total"))
 
 
+#: Places go round here, as 24 bits hold no more.
+PLACES = 1 << 22
+
+
 def _letters(nation: str, customers: list[int]) -> bytes:
     form = w.record(0xD3A8DF, w.name8("FORM")) + w.text_field((0xC6, w.s16(10)), (0xD2, w.s16(20)), *w.runs(nation)) + w.record(0xD3A9DF, w.name8("FORM"))
     pages = [w.page(w.record(0xD3AFD8, w.name8("FORM") + w.s24(k) + w.s24(0))) for k in customers]
@@ -127,9 +145,8 @@ def _letters(nation: str, customers: list[int]) -> bytes:
 
 def overlay_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A letterhead overlay for each nation, placed on a page for each customer: pages and the sum of places by nation."""
-    rows = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.collect_list("c_custkey").alias("c"))
-    rows = rows.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    _, texts, _ = layout.layout(read(rows, F.col("c_nationkey"), building(_letters)("n_name", "c")))
+    rows = by_nation(spark, sf_dir, F.col("c_custkey") % PLACES).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    _, texts, _ = layout.layout(read(rows, document_name(), building(_letters)("n_name", "items")))
     return texts.groupBy(F.col("text").alias("n_name")).agg(F.count("*").alias("pages"), F.sum("x").cast("long").alias("places"))
 
 
@@ -171,6 +188,6 @@ SQL = {
         FROM conversations""",
     "missing_resources": "SELECT DISTINCT p_brand, 'T1V1' || lpad(p_size::VARCHAR, 4, '0') AS name FROM part WHERE p_size % 2 = 1",
     "rules_extent": "SELECT l_orderkey, count(*) AS n, sum((l_quantity * 10)::INT)::BIGINT AS total FROM lineitem GROUP BY 1",
-    "overlay_join": "SELECT n_name, count(*) AS pages, sum(c_custkey + 10)::BIGINT AS places FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
+    "overlay_join": "SELECT n_name, count(*) AS pages, sum(c_custkey % 4194304 + 10)::BIGINT AS places FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
     "triplet_measurements": "SELECT p_partkey, (p_size * 100)::VARCHAR || ' × ' || p_partkey::VARCHAR AS detail FROM part",
 }
