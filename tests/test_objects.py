@@ -1,8 +1,12 @@
+import math
+import struct
 import zlib
 
+from folia.functions import drawing
 from folia.functions import images as kernel
 from folia.operators import fields as ops
 from folia.operators import objects, render
+from folia.plans.report import document_report
 from folia.sources import afp
 from folia.sources import writer as w
 
@@ -91,3 +95,46 @@ def test_sql_functions(spark):
     spark.createDataFrame([(bytearray(w.document(w.text_field((0xDA, b"\xc1\xc2")))),)], "content binary").createOrReplaceTempView("print_files")
     rows = spark.sql("SELECT f.sf_id, trn_text(c.params, 'cp500').text AS t FROM print_files, LATERAL afp_fields(content) f, LATERAL ptoca_sequences(f.data) c").collect()
     assert [r.t for r in rows] == ["AB"]
+
+
+def _drawing(orders):
+    window = b"\xf6\x12" + struct.pack(">3xBHH2xhhhh", 0, 1000, 1000, 0, 1000, 0, 800)
+    return drawing.drawn(window, b"\x70\x0c" + bytes(6) + struct.pack(">H", len(orders)) + bytes(4) + orders)
+
+
+def test_drawing_orders():
+    at = lambda x, y: b"\x21\x04" + struct.pack(">hh", x, y)
+    assert 'points="100,200 400,500"' in _drawing(at(100, 600) + b"\x81\x04" + struct.pack(">hh", 400, 300))["svg"]
+    assert _drawing(b"\xc0\x0a" + struct.pack(">hhhhh", 0, 100, 600, 900, 200))["svg"].startswith('<rect x="100" y="200" width="800" height="400"')
+    line = at(0, 400) + b"\x81\x04" + struct.pack(">hh", 500, 400)
+    assert 'stroke="#ff0000"' in _drawing(b"\x0a\x02" + line)["svg"] and 'stroke="#ff8000"' in _drawing(b"\xb2\x09" + bytes.fromhex("000108080800ff8000") + line)["svg"]
+    assert 'stroke="#7f0000"' in _drawing(b"\xb2\x0a" + bytes.fromhex("00040808080800ffff80")[:6] + bytes([0, 255, 255, 128]) + line)["svg"]
+    assert _drawing(b"") is None and drawing.drawn(b"", b"") is None
+    area = b"\x68\x00" + at(100, 700) + b"\x81\x0c" + struct.pack(">hhhhhh", 900, 700, 900, 100, 100, 100) + b"\x60\x00"
+    assert _drawing(area)["svg"] == '<path d="M 100,100 L 900,100 L 900,700 L 100,700 Z" fill="#000000" stroke="none"/>'
+    assert 'stroke-dasharray="6.0 3.0 1.0 3.0"' in _drawing(b"\x18\x03" + line)["svg"] and 'stroke="none"' in _drawing(b"\x18\x08" + line)["svg"]
+
+
+def test_partial_arcs_run_counterclockwise():
+    for first, sweep, large in ((0, 90, 0), (0, 180, 0), (0, 270, 1), (90, 90, 0), (270, 90, 0), (45, 90, 0)):
+        svg = _drawing(b"\xe3\x12" + struct.pack(">hhhhBBII", 500, 400, 500, 400, 100, 0, first << 16, sweep << 16))["svg"]
+        start, end = (tuple(map(float, svg.split(mark)[1].split('"')[0].split()[0].split(","))) for mark in (" L ", f" 0 {large} 0 "))
+        for (x, y), angle in ((start, first), (end, first + sweep)):
+            assert abs(x - 500 - 100 * math.cos(math.radians(angle))) < 1 and abs(y - 400 + 100 * math.sin(math.radians(angle))) < 1
+
+
+def test_document_report(spark):
+    page = w.page(w.text_field((0xC6, w.s16(100)), (0xD2, w.s16(300)), *w.runs("Hello"), (0xE4, w.s16(50))))
+    files = spark.createDataFrame([("good", w.document(page)), ("bad", b"<html>"), ("empty", b"")], "path string, content binary")
+    rows = {r.path: r for r in document_report(files).collect()}
+    assert set(rows) == {"good", "bad", "empty"} and rows["bad"].error and not rows["empty"].error
+    assert (rows["good"].n_fields, rows["good"].page_total, rows["empty"].n_fields, rows["bad"].page_total) == (5, 1, 0, 0)
+    assert rows["good"].pages[0].text == "Hello" and "<text" in rows["good"].pages[0].svg and [x.n for x in rows["good"].summary] == [1] * 5
+
+
+def test_large_files_are_errors(spark, tmp_path):
+    (tmp_path / "a.afp").write_bytes(w.document())
+    (tmp_path / "b.afp").write_bytes(w.document(*[w.page()] * 40))
+    framed = afp.frame(afp.read_files(spark, str(tmp_path), most_bytes=200))
+    assert afp.fields_of(framed).count() == 2
+    assert [(r.path[-5:], r.message) for r in afp.errors_of(framed).collect()] == [("b.afp", "file has over 200 bytes")]
