@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folia.operators import fields as ops
-from folia.operators import layout, objects, render
+from folia.operators import glyphs, layout, objects, render
 from folia.plans.queries import building, read, table
 from folia.sources import afp
 
@@ -229,6 +229,44 @@ def resources_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("path").cast("long").alias("p_partkey"), "kind", "name", "codec", "rank")
 
 
+def _bridge(key: int, size: int) -> bytes:
+    """An embedded font of some letters in two orientations, named, with an external code page; a run in it."""
+    letters = "abcdefghij"[: size % 10 + 1]
+    index = b"".join(_e(f"L{c.upper()}010000") + struct.pack(">H", 500 + k + 100 * turn) for turn in range(2) for k, c in enumerate(letters))
+    pool = 2 + 12 * len(letters)
+    names = bytes(2) + b"".join(_e(f"L{c.upper()}010000") + struct.pack(">I", pool + 8 * k) for k, c in enumerate(letters)) + b"".join(bytes([8]) + f"letter{c}".encode() for c in letters)
+    code_page = ("T1V10037", "T1001140")[key % 2]
+    return _doc(
+        _sf("D3A889", _e("C0OWN002")), _sf("D3A789", bytes([1, 0x1E]) + bytes(13) + bytes([10]) + bytes(12)), _sf("D3A689", _e("LETTERS".ljust(32)) + bytes(4)), _sf("D38C89", index), _sf("D3AB89", names), _sf("D3A989", _e("C0OWN002")),
+        _sf("D3AB8A", b"\x00\x1e" + _t(0x02, b"\x85\x00" + _e(code_page)) + _t(0x02, b"\x86\x00" + _e("C0OWN002")) + _t(0x24, b"\x05\x07")), _page(_ptx(b"\xf0\x07", b"\xda" + _e("abcdefghij"))),
+    )
+
+
+def bridged_code_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code points of external code pages that embedded fonts can draw, by the identity of characters."""
+    found = glyphs.drawable_points(read(table(spark, sf_dir, "part"), F.col("p_partkey"), building(_bridge)("p_partkey", "p_size")))
+    return found.select(F.col("path").cast("long").alias("p_partkey"), "local_id", "code_page", "character_set", "bridged", "code_point", "gcgid")
+
+
+def named_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of outline fonts with their names, of indexes that list them for two orientations."""
+    found = glyphs.outline_characters(objects.fonts(read(table(spark, sf_dir, "part"), F.col("p_partkey"), building(_bridge)("p_partkey", "p_size"))))
+    return found.select(F.col("path").cast("long").alias("p_partkey"), "rec_seq", "gcgid", "char_increment", "orientations", "name")
+
+
+def glyph_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether an embedded font has glyphs for enough bytes of a run."""
+    found = read(table(spark, sf_dir, "part"), F.col("p_partkey"), building(_bridge)("p_partkey", "p_size"))
+    runs = layout.controls(found).filter(F.col("cs_type") == layout.TRN).select("path", F.col("field_seq").alias("item"), F.lit(7).alias("local_id"), "params")
+    return glyphs.coverage(runs, glyphs.drawable_points(found)).select(F.col("path").cast("long").alias("p_partkey"), F.round("share", 6).alias("share"), "covered")
+
+
+def tallest_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The height of the tallest glyph of embedded raster fonts."""
+    found = objects.fonts(read(table(spark, sf_dir, "part"), F.col("p_partkey"), building(_font)("p_partkey", "p_size")))
+    return glyphs.tallest(found).select(F.col("path").cast("long").alias("p_partkey"), "height")
+
+
 def _card(key: int, name: str) -> bytes:
     text = f'<{name}> & "co"'
     return _doc(_sf("D3A6AF", struct.pack(">BBHHBHBHB", 0, 0, 14400, 14400, 0, 4000, 0, 3000, 0) + bytes(2)), _page(_ptx(b"\xc6" + _h(key % 2000), b"\xd2" + _h(400), b"\xda" + _e(text), b"\xe4" + _h(-300) + _h(20), b"\xe6" + _h(500) + _h(3))))
@@ -244,7 +282,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         triplet_details, field_inspection, stream_counts, framing_errors, text_state, overlays_and_loose_text, drawings, images_placed, bar_code_symbols, embedded_code_pages, embedded_glyphs,
-        resources_missing, page_pictures,
+        resources_missing, page_pictures, bridged_code_points, named_characters, glyph_coverage, tallest_glyphs,
     )
 }
 
@@ -307,6 +345,14 @@ SQL = {
         SELECT p_partkey, 'C0OWN001' AS name, 'OWN FACE' AS typeface, k::INT AS pattern, 'L' || chr((65 + (p_size + k) % 26)::INT) || '020000' AS gcgid, 8::INT AS width, (p_size % 8 + k + 1)::INT AS height,
             (p_size + k)::INT AS char_increment, (p_size - 30 - k)::INT AS baseline_offset, substr('000102030405060708090A0B0C0D0E0F', 1, (2 * (p_size % 8 + k + 1))::INT) AS bits FROM part, range(3) r(k)""",
     "resources_missing": "SELECT p_partkey, 'character set' AS kind, 'C0ELSE01' AS name, NULL::VARCHAR AS codec, 1::INT AS rank FROM part",
+    "bridged_code_points": """
+        SELECT p_partkey, 7::INT AS local_id, ['T1V10037', 'T1001140'][(p_partkey % 2 + 1)::INT] AS code_page, 'C0OWN002' AS character_set, true AS bridged, (CASE WHEN k < 9 THEN 129 + k ELSE 145 END)::INT AS code_point,
+            'L' || chr((65 + k)::INT) || '010000' AS gcgid FROM part, range(10) r(k) WHERE k <= p_size % 10""",
+    "named_characters": """
+        SELECT p_partkey, k::INT AS rec_seq, 'L' || chr((65 + k)::INT) || '010000' AS gcgid, (500 + k)::INT AS char_increment, 2::INT AS orientations, 'letter' || chr((97 + k)::INT) AS name
+        FROM part, range(10) r(k) WHERE k <= p_size % 10""",
+    "glyph_coverage": "SELECT p_partkey, (p_size % 10 + 1) / 10.0::DOUBLE AS share, p_size % 10 + 1 >= 7 AS covered FROM part",
+    "tallest_glyphs": "SELECT p_partkey, (p_size % 8 + 3)::INT AS height FROM part",
     "page_pictures": """
         SELECT s_suppkey, 0::INT AS page_idx, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 4000 3000" data-upi="1440" font-family="Arial, Helvetica, sans-serif"><rect width="4000" height="3000" fill="#ffffff"/>'
             || '<rect x="' || (x + 132 * (9 + n) - 300) || '" y="400" width="300" height="20" data-src="58" fill="#000000"/><rect x="' || (x + 132 * (9 + n)) || '" y="400" width="10" height="500" data-src="58" fill="#000000"/>'
