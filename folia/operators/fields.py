@@ -104,6 +104,20 @@ def field_rows(fields: DataFrame) -> DataFrame:
     )
 
 
+def with_loose_pages(rows: DataFrame, *items: DataFrame) -> DataFrame:
+    """Field rows whose text fields outside pages get the first page that something of theirs stands on.
+
+    items: tables of (path, page_idx, src), such as runs and rules; src is the offset of the field.
+    """
+    first = None
+    for own in items:
+        own = own.select("path", "page_idx", F.col("src").alias("offset"))
+        first = own if first is None else first.unionByName(own)
+    first = first.groupBy("path", "offset").agg(F.min("page_idx").alias("_first"))
+    loose = F.col("page").isNull() & (F.col("sf_id") == f"0x{PTX:06X}")
+    return rows.join(first, ["path", "offset"], "left").withColumn("page", F.when(loose, F.col("_first")).otherwise(F.col("page"))).select(rows.columns)
+
+
 def histogram(fields: DataFrame) -> DataFrame:
     """(path, name, n, rank): how often each kind of field occurs; of equals the first seen comes first."""
     counts = named(fields.select("path", "field_seq", "sf_id", F.lit(b"").alias("data"))).groupBy("path", "name").agg(F.count("*").alias("n"), F.min("field_seq").alias("first"))

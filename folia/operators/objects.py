@@ -246,6 +246,10 @@ def font_characters(found: DataFrame) -> DataFrame:
     return rows.select("path", "object", "rec_seq", glyph_name(F.substring("rec", 1, 8)).alias("gcgid"), unsigned(r, 8, 2).alias("char_increment"), signed(r, 12, 2).alias("baseline_offset"), unsigned(r, 16, 2).alias("pattern"))
 
 
+#: Bytes of a pattern, and patterns of a font, at most.
+MOST_PATTERN, MOST_GLYPHS = 1 << 20, 1024
+
+
 def font_glyphs(found: DataFrame) -> DataFrame:
     """(path, object, pattern, gcgid, width, height, char_increment, baseline_offset, bits) of raster fonts: patterns joined with the first index record of each."""
     boxes = _records(found.filter("technology = 5"), "fnm", 8)
@@ -255,7 +259,7 @@ def font_glyphs(found: DataFrame) -> DataFrame:
     row = F.floor((width + 7) / 8).cast("int")
     start = F.conv(F.hex(F.substring("rec", 5, 4)), 16, 10).cast("long") * unit
     boxes = boxes.select("path", "object", F.col("rec_seq").alias("pattern"), width.alias("width"), height.alias("height"), F.substring(F.col("fng"), (start + 1).cast("int"), row * height).alias("bits"), (row * height).alias("need"))
-    boxes = boxes.filter(F.octet_length("bits") >= F.col("need")).drop("need")
+    boxes = boxes.filter((F.col("need") <= MOST_PATTERN) & (F.col("pattern") < MOST_GLYPHS)).drop("need")  # patterns may be cut short
     firsts = font_characters(found).filter("pattern is not null").groupBy("path", "object", "pattern").agg(F.min_by(F.struct("gcgid", "char_increment", "baseline_offset"), "rec_seq").alias("c"))
     return boxes.join(firsts, ["path", "object", "pattern"], "left").select("path", "object", "pattern", F.coalesce("c.gcgid", F.lit("")).alias("gcgid"), "width", "height", F.coalesce("c.char_increment", F.lit(0)).alias("char_increment"), F.coalesce("c.baseline_offset", F.lit(0)).alias("baseline_offset"), "bits")
 

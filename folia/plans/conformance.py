@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folia.operators import fields as ops
-from folia.operators import glyphs, layout, objects, render
+from folia.operators import glyphs, layout, objects, render, specimens
 from folia.plans.queries import building, read, table
 from folia.sources import afp
+from folia.sources.shared import written
 
 
 def _sf(code: str, data: bytes = b"") -> bytes:
@@ -139,6 +140,14 @@ def overlays_and_loose_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.unionByName(rules.select(key, "page_idx", F.lit("rule").alias("text"), "x", "y", "length", "thickness"))
 
 
+def pages_of_text_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page that an inspector names for each text field, those of overlays and outside pages among them."""
+    found = written(read(table(spark, sf_dir, "supplier"), F.col("s_suppkey"), building(_forms)("s_suppkey", "s_nationkey")), "forms")
+    _, texts, rules = layout.layout(found)
+    rows = ops.with_loose_pages(ops.field_rows(found), texts, rules).filter("sf_id = '0xD3EE9B'")
+    return rows.select(F.col("path").cast("long").alias("s_suppkey"), "field_seq", F.coalesce("page", F.lit(-1)).alias("page"))
+
+
 def _window(width: int, height: int) -> bytes:
     return b"\xf6\x12" + struct.pack(">3xBHH2xhhhh", 0, 1000, 1000, 0, width, 0, height)
 
@@ -267,6 +276,16 @@ def tallest_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glyphs.tallest(found).select(F.col("path").cast("long").alias("p_partkey"), "height")
 
 
+def specimen_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets of the glyphs of raster fonts, of files without pages: titles, labels and pictures at their places."""
+    pages, texts, images = specimens.specimens(read(table(spark, sf_dir, "part"), F.col("p_partkey"), building(_font)("p_partkey", "p_size")))
+    key = F.col("path").cast("long").alias("p_partkey")
+    images = images.select(key, "page_idx", F.concat("mime", F.lit(" "), F.hex(F.substring("data", 2, 3))).alias("what"), "x", "y", "width", "height")
+    none = F.lit(-1)
+    texts = texts.select(key, "page_idx", F.col("text").alias("what"), "x", "y", F.col("font_size").alias("width"), none.alias("height"))
+    return images.unionByName(texts).unionByName(pages.select(key, "page_idx", F.lit("page").alias("what"), none.alias("x"), none.alias("y"), "width", "height"))
+
+
 def _card(key: int, name: str) -> bytes:
     text = f'<{name}> & "co"'
     return _doc(_sf("D3A6AF", struct.pack(">BBHHBHBHB", 0, 0, 14400, 14400, 0, 4000, 0, 3000, 0) + bytes(2)), _page(_ptx(b"\xc6" + _h(key % 2000), b"\xd2" + _h(400), b"\xda" + _e(text), b"\xe4" + _h(-300) + _h(20), b"\xe6" + _h(500) + _h(3))))
@@ -282,7 +301,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         triplet_details, field_inspection, stream_counts, framing_errors, text_state, overlays_and_loose_text, drawings, images_placed, bar_code_symbols, embedded_code_pages, embedded_glyphs,
-        resources_missing, page_pictures, bridged_code_points, named_characters, glyph_coverage, tallest_glyphs,
+        resources_missing, specimen_sheets, page_pictures, pages_of_text_fields, bridged_code_points, named_characters, glyph_coverage, tallest_glyphs,
     )
 }
 
@@ -345,6 +364,16 @@ SQL = {
         SELECT p_partkey, 'C0OWN001' AS name, 'OWN FACE' AS typeface, k::INT AS pattern, 'L' || chr((65 + (p_size + k) % 26)::INT) || '020000' AS gcgid, 8::INT AS width, (p_size % 8 + k + 1)::INT AS height,
             (p_size + k)::INT AS char_increment, (p_size - 30 - k)::INT AS baseline_offset, substr('000102030405060708090A0B0C0D0E0F', 1, (2 * (p_size % 8 + k + 1))::INT) AS bits FROM part, range(3) r(k)""",
     "resources_missing": "SELECT p_partkey, 'character set' AS kind, 'C0ELSE01' AS name, NULL::VARCHAR AS codec, 1::INT AS rank FROM part",
+    "specimen_sheets": """
+        WITH shown AS (
+            SELECT p_partkey, p_size, k, h, row_number() OVER (PARTITION BY p_partkey ORDER BY k) - 1 AS i, round_even(5600.0 / h, 0)::INT AS wide
+            FROM (SELECT p_partkey, p_size, k, p_size % 8 + k + 1 AS h FROM part, range(3) r(k)) WHERE h >= 3),
+        sized AS (SELECT *, least(wide, 1500) AS w, CASE WHEN wide > 1500 THEN round_even(1050000.0 / wide, 0)::INT ELSE 700 END AS hh FROM shown)
+        SELECT p_partkey, 0::INT AS page_idx, 'image/png 504E47' AS what, (600 + 1700 * i + (1700 - w) // 2)::INT AS x, (980 + 700 - hh)::INT AS y, w::INT AS width, hh::INT AS height FROM sized
+        UNION ALL SELECT p_partkey, 0, 'L' || chr((65 + (p_size + k) % 26)::INT) || '020000', (640 + 1700 * i)::INT, 1910, 170, -1 FROM shown
+        UNION ALL SELECT p_partkey, 0, 'Embedded raster font: OWN FACE — ' || count(*) || ' glyphs', 600, 600, 440, -1 FROM shown GROUP BY 1
+        UNION ALL SELECT DISTINCT p_partkey, 0, 'page', -1, -1, 12240, 2880 FROM shown""",
+    "pages_of_text_fields": "SELECT s_suppkey, v.field_seq::INT AS field_seq, v.page::INT AS page FROM supplier, LATERAL (VALUES (3, 0), (11, 1)) AS v(field_seq, page)",
     "bridged_code_points": """
         SELECT p_partkey, 7::INT AS local_id, ['T1V10037', 'T1001140'][(p_partkey % 2 + 1)::INT] AS code_page, 'C0OWN002' AS character_set, true AS bridged, (CASE WHEN k < 9 THEN 129 + k ELSE 145 END)::INT AS code_point,
             'L' || chr((65 + k)::INT) || '010000' AS gcgid FROM part, range(10) r(k) WHERE k <= p_size % 10""",
