@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from folia.functions import describe, scans
 from folia.functions.text import LABELS, coded_points, coded_typeface, run_text, substitute
-from folia.operators.fields import BMO, BPG, EMO, EPG, IPO, MCF1, MCF2, MDR, MPO, PGD, PTX, coded_fonts, ebcdic_text, in_file, labels
+from folia.operators.fields import BDT, BMO, BPG, EMO, EPG, IPO, MCF1, MCF2, MDR, MPO, PGD, PTX, coded_fonts, ebcdic_text, in_file, labels
 from folia.sources.shared import written
 
 WIDTH, HEIGHT, UPI = 12240, 15840, 1440
@@ -166,7 +166,7 @@ def info_type() -> T.StructType:
 
 
 #: Fields that text layout reads.
-READ = (BPG, EPG, BMO, EMO, PGD, PTX, MDR, MCF1, MCF2, MPO, IPO)
+READ = (BDT, BPG, EPG, BMO, EMO, PGD, PTX, MDR, MCF1, MCF2, MPO, IPO)
 
 
 def controls(fields: DataFrame) -> DataFrame:
@@ -390,6 +390,15 @@ def included(items: DataFrame, placed: DataFrame, scaled: tuple[str, ...]) -> Da
     return moved.select([c for c in items.columns])
 
 
+def bare_overlays(fields: DataFrame, found: DataFrame, state: DataFrame) -> DataFrame:
+    """Overlays of files with neither a document nor pages nor text outside them: the last of each name, with the place of the first."""
+    used = fields.filter(F.col("sf_id") == BDT).select("path").unionByName(found.filter("kind = 'page'").select("path"))
+    used = used.unionByName(state.filter(F.col("owner").isNull() & F.col("cs_type").isin(TRN, DIR, DBR)).select("path")).distinct()
+    own = found.filter("kind = 'overlay' AND name <> ''").join(used, "path", "left_anti")
+    first = own.groupBy("path", "name").agg(F.min("closed").alias("first"), F.max("closed").alias("closed"))
+    return own.drop("page_idx").join(first, ["path", "name", "closed"])
+
+
 def _capped(items: DataFrame) -> DataFrame:
     """The first items of each page, and whether there are more of them."""
     w = Window.partitionBy("path", "owner").orderBy("item")
@@ -446,7 +455,7 @@ def layout(fields: DataFrame, codec: str = "cp500", faces: DataFrame | None = No
     found = written(objects(fields), "objects")
     state = written(with_state(fields, codec, faces), "controls")  # both kinds of text, and rules, are drawn from it
     placed_rows = with_pen(state.filter(F.col("owner").isNotNull()))
-    texts, rules = _texts(placed_rows), _rules(placed_rows)
+    texts, rules = placed_texts, placed_rules = _texts(placed_rows), _rules(placed_rows)
     kinds = found.select("path", "owner", "kind")
     of = lambda items, kind: items.join(kinds.filter(F.col("kind") == kind), ["path", "owner"], "left_semi")
     on_pages, rules_on_pages = of(texts, "page"), of(rules, "page")
@@ -465,6 +474,15 @@ def layout(fields: DataFrame, codec: str = "cp500", faces: DataFrame | None = No
     texts, rules = (x.join(index, ["path", "owner"]).drop(*drop) for x in (texts, rules))
     counts = pages.groupBy("path").agg(F.count("*").alias("bracketed"))
     pages = pages.join(cut, ["path", "owner"], "left").select("path", "page_idx", "width", "height", F.col("upi").alias("units_per_inch"), F.coalesce("truncated", F.lit(False)).alias("truncated"), F.lit("bracketed").alias("kind"))
+    alone = bare_overlays(fields, found, state)
+    if not alone.isEmpty():
+        own, own_rules = _capped(estimated(of(placed_texts, "overlay"))), _capped(of(placed_rules, "overlay"))
+        told = own.select("path", "owner", "more").unionByName(own_rules.select("path", "owner", "more")).groupBy("path", "owner").agg(F.max("more").alias("truncated"))
+        alone = alone.join(told, ["path", "owner"])  # those with something on them
+        alone = written(alone.withColumn("page_idx", F.row_number().over(Window.partitionBy("path").orderBy("first")) - 1), "bare-overlays")
+        index = alone.select("path", "owner", "page_idx")
+        pages = pages.unionByName(alone.select("path", "page_idx", "width", "height", F.col("upi").alias("units_per_inch"), "truncated", F.lit("overlay").alias("kind")))
+        texts, rules = (x.unionByName(y.join(index, ["path", "owner"]).drop(*drop)) for x, y in ((texts, own), (rules, own_rules)))
     outside = state.filter(F.col("owner").isNull())
     if outside.isEmpty():
         return pages, texts, rules

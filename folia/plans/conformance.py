@@ -148,6 +148,19 @@ def pages_of_text_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("path").cast("long").alias("s_suppkey"), "field_seq", F.coalesce("page", F.lit(-1)).alias("page"))
 
 
+def _bare(key: int, nation: int) -> bytes:
+    """Overlays without a document: two of one name, of which the last counts, an empty one, and another."""
+    form = lambda name, text: _sf("D3A8DF", _e(name)) + _sf("D3A6AF", struct.pack(">BBHHBHBHB", 0, 0, 14400, 14400, 0, 3000 + nation, 0, 2000, 0) + bytes(2)) + (_ptx(b"\xc6" + _h(40), b"\xd2" + _h(key % 1000), b"\xda" + _e(text)) if text else b"") + _sf("D3A9DF", _e(name))
+    return form("FIRST   ", "old") + form("OTHER   ", f"other {key}") + form("EMPTY   ", "") + form("FIRST   ", f"first {key}")
+
+
+def bare_overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlays of files that hold nothing else, shown as pages."""
+    pages, texts, _ = layout.layout(read(table(spark, sf_dir, "supplier"), F.col("s_suppkey"), building(_bare)("s_suppkey", "s_nationkey")))
+    rows = texts.join(pages.withColumnRenamed("kind", "page_kind"), ["path", "page_idx"])
+    return rows.select(F.col("path").cast("long").alias("s_suppkey"), "page_idx", "text", "x", "y", "width", "height", "page_kind")
+
+
 def _window(width: int, height: int) -> bytes:
     return b"\xf6\x12" + struct.pack(">3xBHH2xhhhh", 0, 1000, 1000, 0, width, 0, height)
 
@@ -301,7 +314,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         triplet_details, field_inspection, stream_counts, framing_errors, text_state, overlays_and_loose_text, drawings, images_placed, bar_code_symbols, embedded_code_pages, embedded_glyphs,
-        resources_missing, specimen_sheets, page_pictures, pages_of_text_fields, bridged_code_points, named_characters, glyph_coverage, tallest_glyphs,
+        resources_missing, specimen_sheets, page_pictures, bare_overlays, pages_of_text_fields, bridged_code_points, named_characters, glyph_coverage, tallest_glyphs,
     )
 }
 
@@ -373,6 +386,9 @@ SQL = {
         UNION ALL SELECT p_partkey, 0, 'L' || chr((65 + (p_size + k) % 26)::INT) || '020000', (640 + 1700 * i)::INT, 1910, 170, -1 FROM shown
         UNION ALL SELECT p_partkey, 0, 'Embedded raster font: OWN FACE — ' || count(*) || ' glyphs', 600, 600, 440, -1 FROM shown GROUP BY 1
         UNION ALL SELECT DISTINCT p_partkey, 0, 'page', -1, -1, 12240, 2880 FROM shown""",
+    "bare_overlays": """
+        SELECT s_suppkey, v.page_idx::INT AS page_idx, v.text, 40::INT AS x, (s_suppkey % 1000)::INT AS y, (3000 + s_nationkey)::INT AS width, 2000::INT AS height, 'overlay' AS page_kind
+        FROM supplier, LATERAL (VALUES (0, 'first ' || s_suppkey), (1, 'other ' || s_suppkey)) AS v(page_idx, text)""",
     "pages_of_text_fields": "SELECT s_suppkey, v.field_seq::INT AS field_seq, v.page::INT AS page FROM supplier, LATERAL (VALUES (3, 0), (11, 1)) AS v(field_seq, page)",
     "bridged_code_points": """
         SELECT p_partkey, 7::INT AS local_id, ['T1V10037', 'T1001140'][(p_partkey % 2 + 1)::INT] AS code_page, 'C0OWN002' AS character_set, true AS bridged, (CASE WHEN k < 9 THEN 129 + k ELSE 145 END)::INT AS code_point,
