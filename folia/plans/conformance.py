@@ -15,6 +15,7 @@ from folia.operators import fields as ops
 from folia.operators import glyphs, layout, objects, render, specimens
 from folia.plans.queries import building, read, table
 from folia.sources import afp
+from folia.sources.samples import samples
 from folia.sources.shared import written
 
 
@@ -299,6 +300,15 @@ def specimen_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.unionByName(texts).unionByName(pages.select(key, "page_idx", F.lit("page").alias("what"), none.alias("x"), none.alias("y"), "width", "height"))
 
 
+def sample_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each sample stream holds: fields, pages and objects of each kind."""
+    found = afp.fields_of(afp.frame(samples(spark)))
+    counts = ops.page_counts(found)
+    for name, rows in (("images", objects.images(found)), ("drawings", objects.graphics(found)), ("symbols", objects.bar_codes(found)), ("glyphs", objects.font_glyphs(objects.fonts(found)))):
+        counts = counts.join(rows.groupBy("path").agg(F.count("*").alias(name)), "path", "left").fillna(0, [name])
+    return counts.withColumnRenamed("path", "sample")
+
+
 def _card(key: int, name: str) -> bytes:
     text = f'<{name}> & "co"'
     return _doc(_sf("D3A6AF", struct.pack(">BBHHBHBHB", 0, 0, 14400, 14400, 0, 4000, 0, 3000, 0) + bytes(2)), _page(_ptx(b"\xc6" + _h(key % 2000), b"\xd2" + _h(400), b"\xda" + _e(text), b"\xe4" + _h(-300) + _h(20), b"\xe6" + _h(500) + _h(3))))
@@ -314,7 +324,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         triplet_details, field_inspection, stream_counts, framing_errors, text_state, overlays_and_loose_text, drawings, images_placed, bar_code_symbols, embedded_code_pages, embedded_glyphs,
-        resources_missing, specimen_sheets, page_pictures, bare_overlays, pages_of_text_fields, bridged_code_points, named_characters, glyph_coverage, tallest_glyphs,
+        resources_missing, specimen_sheets, sample_streams, page_pictures, bare_overlays, pages_of_text_fields, bridged_code_points, named_characters, glyph_coverage, tallest_glyphs,
     )
 }
 
@@ -386,6 +396,9 @@ SQL = {
         UNION ALL SELECT p_partkey, 0, 'L' || chr((65 + (p_size + k) % 26)::INT) || '020000', (640 + 1700 * i)::INT, 1910, 170, -1 FROM shown
         UNION ALL SELECT p_partkey, 0, 'Embedded raster font: OWN FACE — ' || count(*) || ' glyphs', 600, 600, 440, -1 FROM shown GROUP BY 1
         UNION ALL SELECT DISTINCT p_partkey, 0, 'page', -1, -1, 12240, 2880 FROM shown""",
+    "sample_streams": """
+        SELECT * FROM (VALUES ('text.afp', 6::BIGINT, 1::BIGINT, '', 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT), ('overlay.afp', 13, 2, '', 0, 0, 0, 0), ('drawing.afp', 11, 1, '', 0, 1, 0, 0),
+            ('image.afp', 10, 1, '', 1, 0, 0, 0), ('bar-code.afp', 9, 1, '', 0, 0, 1, 0), ('font.afp', 7, 0, 'font character set', 0, 0, 0, 2)) AS v(sample, n_fields, bracketed_pages, resource_kind, images, drawings, symbols, glyphs)""",
     "bare_overlays": """
         SELECT s_suppkey, v.page_idx::INT AS page_idx, v.text, 40::INT AS x, (s_suppkey % 1000)::INT AS y, (3000 + s_nationkey)::INT AS width, 2000::INT AS height, 'overlay' AS page_kind
         FROM supplier, LATERAL (VALUES (0, 'first ' || s_suppkey), (1, 'other ' || s_suppkey)) AS v(page_idx, text)""",
