@@ -6,6 +6,8 @@ from folia.functions import scans, tables
 from folia.functions.scans import s24, u16, u24
 from folia.functions.text import codec_of_name, codec_of_page, ebcdic, fixed_name, font_name, name_of, readable, run_text
 
+# The wording of all descriptions below is fixed: inspectors show these very strings.
+
 # Image mapping options and pattern technologies.
 MAPPINGS = {0x00: "Position", 0x10: "Position and Trim", 0x20: "Scale to Fit", 0x30: "Center and Trim", 0x41: "Replicate and Trim", 0x60: "Scale to Fill"}
 TECHNOLOGIES = {0x05: "laser-matrix raster", 0x1E: "Type 1 outline", 0x1F: "CID/Type 1 outline"}

@@ -234,7 +234,7 @@ def fonts(fields: DataFrame) -> DataFrame:
     last = lambda kind: F.max(F.when(F.col("sf_id") == kind, F.struct("field_seq", "data")))["data"]
     found = rows.groupBy("path", "object").agg(F.first("token").alias("token"), last(FNC).alias("fnc"), last(FND).alias("fnd"), *[payload(k).alias(n) for k, n in ((FNI, "fni"), (FNM, "fnm"), (FNG, "fng"), (FNN, "fnn"))])
     return found.select(
-        "path", "object", ebcdic_text("token").alias("name"), glyph_name(F.when(F.octet_length("fnd") >= 32, F.substring("fnd", 1, 32))).alias("typeface"), unsigned(F.col("fnc"), 1, 1).alias("technology"),
+        "path", "object", ebcdic_text("token").alias("name"), F.trim(F.substring_index(glyph_name(F.when(F.octet_length("fnd") >= 32, F.substring("fnd", 1, 32))), "@", 1)).alias("typeface"), unsigned(F.col("fnc"), 1, 1).alias("technology"),
         F.coalesce(unsigned(F.col("fnc"), 15, 1), F.lit(28)).alias("record_size"), unsigned(F.col("fnc"), 16, 1).alias("alignment"), "fni", "fnm", "fng", "fnn",
     )
 

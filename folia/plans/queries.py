@@ -47,7 +47,8 @@ def ptx_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = layout.controls(found).filter(F.col("cs_type") == layout.TRN)
     runs = runs.select("path", "field_seq", "cs_seq", layout.decoded("params", F.lit("cp500"))["text"].alias("part"))
     listed = F.array_sort(F.collect_list(F.struct("field_seq", "cs_seq", "part")))
-    return runs.groupBy("path").agg(F.array_join(F.transform(listed, lambda r: r["part"]), "").alias("text")).select(F.col("path").cast("long").alias("doc_id"), "text")
+    texts = runs.groupBy("path").agg(F.array_join(F.transform(listed, lambda r: r["part"]), "").alias("text")).select(F.col("path").cast("long").alias("doc_id"), "text")
+    return rows.select("doc_id").join(texts, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _tags(segments: list[str]) -> bytes:
@@ -85,7 +86,7 @@ def field_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each kind of field occurs in the stream of an order: a page, with a text field for each line."""
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("l"))
     found = ops.histogram(read(rows, F.col("l_orderkey"), building(_order)("l")))
-    return found.select(F.col("path").cast("long").alias("l_orderkey"), "name", "n")
+    return found.select(F.col("path").cast("long").alias("l_orderkey"), "name", "n", "rank")
 
 
 def _turns(texts: list[dict]) -> bytes:
@@ -113,10 +114,10 @@ def _maps(sizes: list[int]) -> bytes:
 
 
 def missing_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Code pages that the streams of brands name for their sizes and don't embed; even sizes' are embedded."""
+    """Code pages and character sets that the streams of brands name for their sizes and don't embed; even sizes' code pages are embedded."""
     rows = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.sort_array(F.collect_set("p_size")).alias("s"))
-    found = ops.missing_resources(read(rows, F.col("p_brand"), building(_maps)("s"))).filter("kind = 'code page'")
-    return found.select(F.col("path").alias("p_brand"), "name")
+    found = ops.missing_resources(read(rows, F.col("p_brand"), building(_maps)("s")))
+    return found.select(F.col("path").alias("p_brand"), "kind", "name", "rank")
 
 
 def _rules(lengths: list[int]) -> bytes:
@@ -176,17 +177,20 @@ QUERIES = {
 }
 
 SQL = {
-    "ptx_text_roundtrip": "SELECT doc_id, text FROM documents WHERE text <> ''",
+    "ptx_text_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "tle_index": "SELECT c_nationkey AS nation, c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY ALL",
     "field_histogram": """
-        SELECT l_orderkey, name, n FROM (SELECT l_orderkey, count(*) AS lines FROM lineitem GROUP BY 1), LATERAL (VALUES
-            ('BDT (Begin Document)', 1::BIGINT), ('BPG (Begin Page)', 1), ('PTX (Presentation Text Data)', lines), ('EPG (End Page)', 1), ('EDT (End Document)', 1)) AS v(name, n)""",
+        SELECT l_orderkey, name, n, rank::INT AS rank FROM (SELECT l_orderkey, count(*) AS lines, (count(*) > 1)::INT AS much FROM lineitem GROUP BY 1), LATERAL (VALUES
+            ('BDT (Begin Document)', 1::BIGINT, 1 + much), ('BPG (Begin Page)', 1, 2 + much), ('PTX (Presentation Text Data)', lines, 3 - 2 * much), ('EPG (End Page)', 1, 4), ('EDT (End Document)', 1, 5)) AS v(name, n, rank)""",
     "nesting_depth": "SELECT l_orderkey, 2::INT AS depth, 0::INT AS page, count(*) AS n FROM lineitem GROUP BY 1",
     "conversation_reading_order": r"""
         SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS page_idx,
             array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(regexp_replace(l, '\s+', ' ', 'g'))), lambda l: l <> ''), chr(10)) AS text
         FROM conversations""",
-    "missing_resources": "SELECT DISTINCT p_brand, 'T1V1' || lpad(p_size::VARCHAR, 4, '0') AS name FROM part WHERE p_size % 2 = 1",
+    "missing_resources": """
+        SELECT p_brand, kind, name, row_number() OVER (PARTITION BY p_brand ORDER BY kind = 'character set', name)::INT AS rank FROM (
+            SELECT DISTINCT p_brand, 'code page' AS kind, 'T1V1' || lpad(p_size::VARCHAR, 4, '0') AS name FROM part WHERE p_size % 2 = 1
+            UNION SELECT p_brand, 'character set', 'C0H2' || lpad(p_size::VARCHAR, 2, '0') || 'B0' FROM part)""",
     "rules_extent": "SELECT l_orderkey, count(*) AS n, sum((l_quantity * 10)::INT)::BIGINT AS total FROM lineitem GROUP BY 1",
     "overlay_join": "SELECT n_name, count(*) AS pages, sum(c_custkey % 4194304 + 10)::BIGINT AS places FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
     "triplet_measurements": "SELECT p_partkey, (p_size * 100)::VARCHAR || ' × ' || p_partkey::VARCHAR AS detail FROM part",
