@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -13,7 +15,7 @@ from pyspark.sql import types as T
 
 
 #: Bytes of an Arrow batch, whatever the length of texts: what a task's two processes hold of its rows at once.
-BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 
 
 def bounded(spark: SparkSession) -> None:
@@ -64,7 +66,17 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what ``stored`` wrote for the tables, once nothing that isn't written itself reads them."""
+    for df in tables:
+        if path := getattr(df, "_stored", None):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def unused(name: str, columns: list[str]) -> str:
@@ -89,6 +101,10 @@ def struct_array(names: list[str], columns: list[list], types: list[pa.DataType]
     return pa.StructArray.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=names)
 
 
+#: Seconds between two such returns of a worker.
+TRIM_S = 2.0
+
+
 def lists(values: np.ndarray, some: np.ndarray) -> pa.ListArray:
     """A list column of the rows of ``values`` where ``some`` is set, and of empty lists elsewhere."""
     ends = np.concatenate([[0], np.cumsum(some * values.shape[1])]).astype(np.int32)
@@ -108,3 +124,20 @@ def slices(values: pa.Array, most_bytes: int = 1 << 20, most_rows: int = 4096):
             stop += 1
         yield values.slice(start, stop - start).to_pylist()
         start = stop
+    trimmed()
+
+
+_last_trim = 0.0
+
+
+def trimmed() -> None:
+    """Gives a worker's freed memory back to the machine, at most once in a few seconds: workers live on between stages."""
+    global _last_trim
+    if (now := time.monotonic()) - _last_trim < TRIM_S:
+        return
+    _last_trim = now
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass

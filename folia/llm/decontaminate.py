@@ -6,13 +6,23 @@ are stored divided by that threshold, so one threshold, 1, holds for all units.
 are verified on the document's words: shares of the word pairs of the item, of its question and
 of its answer that occur in order near the passage.
 
+All passages of a text are first bounded at once, in numpy, by the block maxima of their words:
+where no block can reach the threshold no pivot could be found, and the passage is done. The others
+are run through the index one by one: cursors on the postings of their words, a pivot where the
+lists' maxima reach the threshold, a look at the maxima of the blocks there, and either the scores
+of the pivot or a skip beyond those blocks.
+
 The index is built of test items, not of documents. It is cut into pieces of about
 ``PIECE_BYTES`` of item text by the hash of item_id; each piece is sent to the executors by
-itself and all documents are run against it, so any number of items is covered.
-
-A null or empty text holds nothing, and a null or word-less item is found nowhere. An item of
-fewer than ``SHORT`` words counts only where all its words stand in sequence. Repeated rows
-repeat their results.
+itself and all documents are run against it, so any number of items is covered. Counts of units and
+of the units that have a word, and the mean length, are those of all pieces, so scores don't
+depend on the cut. The items' words pass through the driver.
+
+A null or empty text holds nothing, and a null or word-less item is found nowhere; without items or
+documents nothing is found. Texts are taken whole, however long. An item of fewer than ``SHORT``
+words counts only where all its words stand in sequence. Repeated rows repeat their results; of the
+passages that hold an item the one of the greatest overlap is told, and of equals the first. Columns
+of any other names are left alone.
 """
 
 from __future__ import annotations
@@ -77,37 +87,64 @@ def _pairs(words: list[str]) -> list:
     return list(zip(words, words[1:])) or words
 
 
+def units_of(text: str | None) -> list[Counter]:
+    """An item's units, of about equal length."""
+    words = words_of((text or "").encode("utf-8", "replace"))
+    count = math.ceil(len(words) / UNIT)
+    return [Counter(words[len(words) * k // count : len(words) * (k + 1) // count]) for k in range(count)]
+
+
+class Statistics:
+    """What BM25 asks of all units: their number, their words in all, and in how many each word is."""
+
+    def __init__(self):
+        self.units = self.words = 0
+        self.df: Counter = Counter()
+
+    def add(self, items: list[tuple[int, str]]) -> "Statistics":
+        for _, text in items:
+            for u in units_of(text):
+                self.units += 1
+                self.words += sum(u.values())
+                self.df.update(u.keys())
+        return self
+
+    def impacts(self, u: Counter) -> dict[str, float]:
+        norm = K1 * (1 - B + B * sum(u.values()) * self.units / self.words)
+        rarity = {w: math.log1p((self.units - self.df[w] + 0.5) / (self.df[w] + 0.5)) for w in u}
+        return {w: rarity[w] * tf * (K1 + 1) / (tf + norm) for w, tf in u.items()}
+
+
 class Index:
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], statistics: Statistics | None = None):
+        statistics = statistics or Statistics().add(items)
         self.items: list[tuple] = []  # item_id, words, pairs of the item, the question, the answer
         self.unit_item: list[int] = []
         units: list[Counter] = []
         for item_id, text in items:
-            words = words_of((text or "").encode("utf-8", "replace"))
-            if not words:
+            own = units_of(text)
+            if not own:
                 continue
+            words = words_of(text.encode("utf-8", "replace"))
             q, a = (words_of(x.encode("utf-8", "replace")) for x in question_and_answer(text))
             self.items.append((item_id, words, _pairs(words), _pairs(q), _pairs(a)))
-            count = math.ceil(len(words) / UNIT)
-            for k in range(count):
-                units.append(Counter(words[len(words) * k // count : len(words) * (k + 1) // count]))
-                self.unit_item.append(len(self.items) - 1)
-        n, mean = len(units), sum(sum(u.values()) for u in units) / max(1, len(units))
-        df = Counter(w for u in units for w in u)
-        self.terms = {w: i for i, w in enumerate(sorted(df))}
-        lists: list[list[tuple[int, float]]] = [[] for _ in df]
+            units += own
+            self.unit_item += [len(self.items) - 1] * len(own)
+        self.terms = {w: i for i, w in enumerate(sorted({w for u in units for w in u}))}
+        lists: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         for i, u in enumerate(units):
-            norm = K1 * (1 - B + B * sum(u.values()) / mean)
-            impact = {w: math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + norm) for w, tf in u.items()}
+            impact = statistics.impacts(u)
             threshold = REACH * sum(impact.values())
             for w, x in impact.items():
                 lists[self.terms[w]].append((i, x / threshold))
-        self.lists = lists
-        self.blocks = max(1, math.ceil(n / BLOCK))
+        self.postings = [([i for i, _ in x], [s for _, s in x]) for x in lists]
+        self.blocks = max(1, math.ceil(len(units) / BLOCK))
         maxima = [[(k, max(s for _, s in g)) for k, g in groupby(x, lambda p: p[0] // BLOCK)] for x in lists]
+        self.maxima = [dict(x) for x in maxima]
+        self.most = [max(x.values()) for x in self.maxima]
         # Terms in many blocks add their bound to all; the others' block maxima are one array, from starts[t] to starts[t + 1].
         often = np.array([len(x) > max(COMMON, self.blocks // COMMON) for x in maxima] + [False])
-        most = np.array([max(s for _, s in x) for x in maxima] + [0.0])
+        most = np.array([*self.most, 0.0])
         self.common, self.rare = np.where(often, most, 0.0), np.where(often, 0.0, most)
         kept = [[] if o else x for x, o in zip(maxima, often)] + [[]]
         self.starts = np.cumsum([0, *map(len, kept)])
@@ -115,11 +152,7 @@ class Index:
         self.block_max = np.array([s for x in kept for _, s in x], np.float64)
 
     def live(self, ids: np.ndarray):
-        """(start, blocks) of each passage with blocks whose maxima over its distinct words sum up to 1.
-
-        The pivots of block-max WAND for all passages of a text at once: blocks are ranges of units,
-        alike for all lists, so what can't reach the threshold is skipped by a whole block.
-        """
+        """The start of each passage with a block whose maxima over the passage's distinct words sum up to 1."""
         n = len(ids)
         if n <= PASSAGE:
             starts, size = np.zeros(1, np.int64), n
@@ -145,20 +178,54 @@ class Index:
             cell = np.repeat(np.repeat(np.arange(len(may)), terms.shape[1]), length) * self.blocks + self.block[at]
             sums = np.bincount(cell, self.block_max[at], len(may) * self.blocks).reshape(len(may), self.blocks)
             hot = sums >= 1.0 - base[may][:, None] - 1e-9
-            for k in np.nonzero(hot.any(axis=1))[0].tolist():
-                yield int(first[may[k]]), np.nonzero(hot[k])[0].tolist()
-
-    def score(self, terms: list[int], blocks: list[int]) -> list[tuple[int, float]]:
-        """(unit, score) of the units in the blocks that score 1 or more for distinct terms."""
-        scores: dict[int, float] = {}
-        for b in blocks:
-            low, high = (b * BLOCK,), ((b + 1) * BLOCK,)
-            for t in terms:
-                own = self.lists[t]
-                for i in range(bisect_left(own, low), bisect_left(own, high)):
-                    unit, s = own[i]
-                    scores[unit] = scores.get(unit, 0.0) + s
-        return [(u, s) for u, s in scores.items() if s >= 1.0]
+            yield from first[may[hot.any(axis=1)]].tolist()
+
+    def retrieve(self, terms: list[int]) -> list[tuple[int, float]]:
+        """(unit, score) of every unit that scores 1 or more for distinct terms, by block-max WAND."""
+        found, at = [], dict.fromkeys(terms, 0)
+        now = {t: self.postings[t][0][0] for t in terms}  # the unit under each term's cursor
+
+        def move(t: int, unit: int) -> None:
+            """The term's cursor to the first unit from ``unit`` on."""
+            own = self.postings[t][0]
+            at[t] = bisect_left(own, unit, at[t])
+            if at[t] < len(own):
+                now[t] = own[at[t]]
+            else:
+                del now[t]
+
+        while now:
+            order = sorted(now, key=now.__getitem__)
+            total, last = 0.0, -1
+            for k, t in enumerate(order):
+                total += self.most[t]
+                if total >= 1.0 - 1e-9:
+                    last = k
+                    break
+            if last < 0:  # no pivot: what is left of the lists can't reach the threshold
+                break
+            pivot = now[order[last]]
+            while last + 1 < len(order) and now[order[last + 1]] == pivot:
+                last += 1
+            ahead, block = order[: last + 1], pivot // BLOCK
+            if sum(self.maxima[t].get(block, 0.0) for t in ahead) < 1.0 - 1e-9:
+                # Beyond the blocks, or to the next list's unit if that comes first.
+                beyond = (block + 1) * BLOCK
+                if last + 1 < len(order):
+                    beyond = min(beyond, now[order[last + 1]])
+                for t in ahead:
+                    move(t, beyond)
+            elif now[order[0]] == pivot:
+                score = sum(self.postings[t][1][at[t]] for t in ahead)
+                if score >= 1.0:
+                    found.append((pivot, score))
+                for t in ahead:
+                    move(t, pivot + 1)
+            else:
+                for t in ahead:
+                    if now[t] < pivot:
+                        move(t, pivot)
+        return found
 
     def search(self, b: bytes) -> list[tuple]:
         words = words_of(b)
@@ -167,11 +234,11 @@ class Index:
         none = len(self.terms)
         ids = np.fromiter(map(self.terms.get, words, repeat(none)), np.int64, len(words))
         best: dict[int, tuple] = {}
-        for start, blocks in self.live(ids):
+        for start in self.live(ids):
             near = np.unique(ids[start : start + PASSAGE]).tolist()
             if near[-1] == none:
                 near.pop()
-            for unit, score in self.score(near, blocks):
+            for unit, score in self.retrieve(near):
                 k = self.unit_item[unit]
                 if (hit := self.verify(k, words, start, score * REACH)) and (k not in best or hit[2] > best[k][2]):
                     best[k] = hit
@@ -192,8 +259,8 @@ class Index:
         return None
 
 
-def _searched(spark: SparkSession, items: list[tuple[int, str]]):
-    index = spark.sparkContext.broadcast(Index(items))
+def _searched(spark: SparkSession, items: list[tuple[int, str]], statistics: Statistics):
+    index = spark.sparkContext.broadcast(Index(items, statistics))
 
     @F.arrow_udf(T.ArrayType(HIT))
     def search(texts: pa.Array) -> pa.Array:
@@ -211,10 +278,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", piece_bytes:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item"))
     total = items.agg(F.sum(F.octet_length("item"))).first()[0] or 0
     pieces = max(1, math.ceil(total / piece_bytes))
-    columns = []
+    part = lambda k: [(r.item_id, r["item"]) for r in (items if pieces == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(pieces)) == k)).collect()]
+    statistics = Statistics()
     for k in range(pieces):
-        part = items if pieces == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(pieces)) == k)
-        columns.append(_searched(docs.sparkSession, [(r.item_id, r["item"]) for r in part.collect()])(utf8(text)))
+        statistics.add(part(k))
+    columns = [_searched(docs.sparkSession, part(k), statistics)(utf8(text)) for k in range(pieces)]
     return columns[0] if pieces == 1 else F.concat(*columns)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folia.llm.common import stored
+from folia.llm.common import forget, stored
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -30,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = stored(large.filter("u != v").distinct(), "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = stored(small.select("e.*").filter("u != v").distinct(), "edges")
+        before, edges = edges, stored(small.select("e.*").filter("u != v").distinct(), "edges")
+        forget(before, large)
         last, mark = mark, _mark(edges)
         if mark == last:
             break

@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folia.llm.common import stored, table, utf8
+from folia.llm.common import forget, stored, table, utf8
 
 FOLDS, HELD_OUT = 10, 0
 SMOOTH = 0.1
@@ -436,12 +436,14 @@ def _gathered(rows: DataFrame, tasks: int, arrays: dict[int, np.ndarray]) -> Non
     some = rows.withColumn("task", F.pmod("task", F.lit(fan))).repartition("kind", "block", "task").mapInArrow(_summed, SUMS)
     total = some.withColumn("task", F.lit(0)).repartition("kind", "block").mapInArrow(_summed, SUMS)
     unpacker = zstandard.ZstdDecompressor()
-    for batch in stored(total, "sums", "none").select("kind", "block", "pack").toArrow().to_batches():
+    total = stored(total, "sums", "none")
+    for batch in total.select("kind", "block", "pack").toArrow().to_batches():
         for kind, block, pack in zip(*(c.to_pylist() for c in batch.columns)):
             own = np.frombuffer(unpacker.decompress(pack), _TYPES[kind])
             flat = arrays[kind].reshape(-1)
             at = block * BLOCK * (arrays[kind].size // len(arrays[kind]))
             flat[at : at + len(own)] = own
+    forget(total)
 
 
 def train(chunks: DataFrame, v: Vocabulary) -> Model:
@@ -508,6 +510,7 @@ def score(docs: DataFrame, text: str = "text") -> DataFrame:
     counts = stored(words.filter("c > 0").groupBy("word").agg(F.sum("c").alias("c")), "counts")
     v = vocabulary_of(counts)
     scored = stored(chunks.drop("counts").mapInArrow(_scored(sc.broadcast(v), sc.broadcast(train(chunks, v))), SCORED), "scored")
+    forget(chunks)
     tail = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("t")).select("row", F.col("t.words").alias("word"), F.col("t.times").alias("n"))
     c = F.coalesce("c", F.lit(0))
     met = tail.join(counts, "word", "left").groupBy("row").agg(

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folia.llm.common import lists, slices, stored, struct_type, table, utf8
+from folia.llm.common import forget, lists, slices, stored, struct_type, table, utf8
 from folia.llm.graph import components
 
 BANDS, ROWS = 32, 5
@@ -271,12 +271,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, percent:
     some = some.select("key", F.explode(F.array(*[F.struct(F.col(f"m{k}.id").alias("a"), F.col(f"m{k}.c").alias("ca")) for k in range(GUESTS)])).alias("m"))
     some = some.select("key", "m.*").distinct()
     guests = mixed.join(some, "key").filter("c != ca").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-    edges = stored(edges.unionByName(_confirmed(guests, nodes, percent)), "links")
-    found, mixed = _placed(mixed.select("key", "id"), edges)
+    first, edges = edges, stored(edges.unionByName(_confirmed(guests, nodes, percent)), "links")
+    before, (found, mixed) = mixed, _placed(mixed.select("key", "id"), edges)
+    forget(first, before, members)
     # ... and then, where components are left apart, all nodes of other components that the bits allow.
     more = stored(_apart(mixed, nodes, own.select("id", "bands"), percent), "links")
     if not more.isEmpty():
         found = stored(components(edges.unionByName(more)), "components")
+    forget(nodes, edges, mixed, more)
     of_set = reps.join(found.withColumnRenamed("node", "id"), "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("c"))
     # Rows that are linked with nothing, of which any number may be alike, stay out of the join.
     linked = F.col("doc_id").isNotNull() & (F.col("n") > 0)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folia.llm.common import slices, stored, struct_array, struct_type, table, utf8
+from folia.llm.common import forget, slices, stored, struct_array, struct_type, table, utf8
 
 LEAST_WORDS, MOST_REPEATED = 50, 0.5
 #: Share of a group that the estimate is drawn from, concentration steps at most, least rows of a group.
@@ -194,8 +194,9 @@ def fit(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
         same = F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("g"))
         bins = F.least(F.floor(F.log1p(distance(x, F.col("m"))) * 128), F.lit(BINS - 1)).cast("int").alias("bin")
         steps = good.join(m, same).groupBy("lang", "source", "start", bins).agg(F.count("*").alias("n"), *sums)
-        models = stored(steps.groupBy("lang", "source", "start").applyInPandas(_step, MODEL), "model")
+        before, models = models, stored(steps.groupBy("lang", "source", "start").applyInPandas(_step, MODEL), "model")
         fall = models.join(m.withColumnRenamed("start", "s"), same & (F.col("start") == F.col("s"))).agg(F.max(F.col("before") - F.col("det"))).first()[0]
+        forget(before)
         if fall is None or k and fall < SETTLED:
             break
     least = models.groupBy("lang", "source").agg(F.min_by(F.struct("n", "mean", "inverse", "det"), F.struct("det", "start")).alias("m"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folia.llm.common import bounded, scratch, slices, table, unused, utf8
+from folia.llm.common import bounded, scratch, slices, stored, table, unused, utf8
 
 #: Raised whenever a rule changes: blobs scanned under another version are scanned anew.
 RULES_VERSION = 1
@@ -111,9 +111,14 @@ def update_ledger(docs: DataFrame, ledger: str, version: int = RULES_VERSION) ->
     """Scans what the ledger at path ``ledger`` lacks of the rows' blobs, appends it, and returns the ledger's rows of this version."""
     spark = docs.sparkSession
     bounded(spark)
-    packs = docs.select(utf8().alias("b")).mapInArrow(_packed, "blob binary, pack binary")
+    texts = docs.select(utf8().alias("b"))
     if _exists(spark, ledger):
-        packs = packs.join(spark.read.parquet(ledger).filter(F.col("rules") == version).select("blob"), "blob", "left_anti")
+        # Hashes alone find what is new; where that is little, texts that were seen before don't move at all.
+        texts = texts.withColumn("blob", F.unhex(F.sha2("b", 256)))
+        seen = spark.read.parquet(ledger).filter(F.col("rules") == version).select("blob")
+        unseen = stored(texts.select("blob").distinct().join(seen, "blob", "left_anti"), "unseen")
+        texts = texts.join(unseen, "blob", "left_semi").select("b")
+    packs = texts.mapInArrow(_packed, "blob binary, pack binary")
     packs.repartition(F.col("blob")).mapInArrow(_scanned, SCANNED).withColumn("rules", F.lit(version)).write.mode("append").parquet(ledger)
     return spark.read.parquet(ledger).filter(F.col("rules") == version).drop("rules")
 

@@ -164,6 +164,17 @@ def test_secret_ledger(frame, tmp_path):
     assert {r.doc_id: r.t for r in clean} == {1: "my [secret] ok", 2: "my [secret] ok", 3: None, 4: "", 5: "[secret]"}
 
 
+def test_ledger_takes_only_new_texts(spark, tmp_path):
+    """Blobs of the ledger are not scanned again, new ones are appended once."""
+    docs = spark.createDataFrame([(k, f"token: abcdefgh{k % 7}") for k in range(50)], "doc_id long, text string")
+    ledger = str(tmp_path / "ledger")
+    first = {r.doc_id: r.secrets for r in secrets.scan(docs, ledger).collect()}
+    more = docs.unionByName(spark.createDataFrame([(100, "password = hunter22"), (101, None)], "doc_id long, text string"))
+    again = {r.doc_id: r.secrets for r in secrets.scan(more, ledger).collect()}
+    assert {k: again[k] for k in first} == first and again[100].n_assign == 1 and again[101].spans == ""
+    assert spark.read.parquet(ledger).count() == 7 + 2
+
+
 def test_quality_rules(spark, frame, corpus):
     rows = rules.judge(frame(corpus)).collect()
     assert len(rows) == len(corpus) and all(not r.kept for r in rows if r.base_failed)

@@ -165,6 +165,40 @@ def test_decontaminate_long_item():
     assert [h[0] for h in decontaminate.Index([(1, item)]).search(("x " * 100 + item).encode())] == [1]
 
 
+def test_wand_equals_brute_force():
+    """All units at the threshold, and no others, with their BM25 scores; whatever the words and the other pieces."""
+    rng = random.Random(14)
+    words = [f"w{k}" for k in range(120)]
+    items = [(k, " ".join(rng.choice(words[: rng.choice([20, 120])]) for _ in range(rng.randint(3, 130)))) for k in range(60)]
+    statistics = decontaminate.Statistics().add(items)
+    units = [(k, u) for k, (_, text) in enumerate(items) for u in decontaminate.units_of(text)]
+    df, mean = Counter(w for _, u in units for w in u), sum(sum(u.values()) for _, u in units) / len(units)
+
+    def bm25(unit, query):
+        total = 0.0
+        for w, tf in unit.items():
+            if w in query:
+                idf = math.log(1 + (len(units) - df[w] + 0.5) / (df[w] + 0.5))
+                total += idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * sum(unit.values()) / mean))
+        return total
+
+    hits = 0
+    for piece in (items, items[:25], items[25:]):
+        index = decontaminate.Index(piece, statistics)
+        own = [u for k, u in units if items[k] in piece]
+        for _ in range(80):
+            query = set(rng.sample(words, rng.randint(1, 60))) | set(rng.choice(own))
+            if rng.random() < 0.5:
+                query = {w for w in query if rng.random() < 0.7}
+            want = {k: s / (0.6 * bm25(u, u)) for k, u in enumerate(own) if (s := bm25(u, query)) >= 0.6 * bm25(u, u)}
+            got = dict(index.retrieve(sorted(index.terms[w] for w in query if w in index.terms)))
+            assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+            hits += len(got)
+            ids = np.array([index.terms.get(w, len(index.terms)) for w in query])
+            assert not want or list(index.live(ids))
+    assert hits > 300
+
+
 def test_decontaminate_unicode():
     accented = "Où l'élève français a-t-il été reçu à la fête près de l'île où naît la rivière gelée? Côté forêt, là-bas, élève reçu."
     quoted = "which river crosses the old city near the northern gate? the slow one"
