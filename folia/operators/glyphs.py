@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from folia.functions import glyph_ids
 from folia.operators.fields import coded_fonts
 from folia.operators.objects import code_pages, font_characters, font_glyphs, fonts, glyph_name
+from folia.sources.shared import written
 
 POINTS = T.ArrayType(T.StructType([T.StructField("code_point", T.IntegerType()), T.StructField("gcgid", T.StringType())]))
 
@@ -83,3 +85,66 @@ def coverage(runs: DataFrame, points: DataFrame) -> DataFrame:
     share = F.when(F.count("code_point") == 0, F.lit(1.0)).otherwise(F.coalesce(F.sum("hit"), F.lit(0.0)) / F.count("code_point"))
     rows = each.join(known, ["path", "local_id", "code_point"], "left").groupBy("path", "item").agg(share.alias("share"))
     return rows.withColumn("covered", F.col("share") >= COVERED)
+
+
+#: Points from which raster glyphs are drawn, as smaller ones look rough.
+LEAST_POINTS = 20
+
+
+def rasters(fields: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(glyphs by path, character_set and gcgid; metrics by path and character_set) of raster fonts; of sets of one name the last counts."""
+    found = fonts(fields).filter("technology = 5 AND name <> ''")
+    shapes = font_glyphs(found).join(found.select("path", "object", F.col("name").alias("character_set"), "resolution", "point_size"), ["path", "object"])
+    last = shapes.groupBy("path", "character_set").agg(F.max("object").alias("object"))
+    shapes = shapes.join(last, ["path", "character_set", "object"])
+    metrics = shapes.groupBy("path", "character_set").agg(F.max("height").alias("tallest"), F.first("resolution").alias("resolution"), F.first("point_size").alias("point_size"))
+    glyph = F.max_by(F.struct("width", "height", "char_increment", "baseline_offset", "bits"), "pattern").alias("glyph")
+    return shapes.groupBy("path", "character_set", "gcgid").agg(glyph), metrics
+
+
+def drawn_bytes(runs: DataFrame, fields: DataFrame, small: bool = False) -> DataFrame:
+    """Each byte of the runs that are drawn in the file's own raster glyphs: its glyph, or none, and its place along the line.
+
+    runs: (path, field_seq, cs_seq, font_id, params, size, upi). A run is drawn so if the last map of
+    its local id with glyphs has enough of them, and the font is of LEAST_POINTS or ``small`` is set.
+    Adds pos, glyph, em, pel, step (the advance) and along (the advances before).
+    """
+    shapes, metrics = (written(x, "glyphs") for x in rasters(fields))
+    points = drawable_points(fields).join(metrics.select("path", "character_set"), ["path", "character_set"], "left_semi")
+    points = points.select("path", F.col("field_seq").alias("map_seq"), F.col("local_id").alias("font_id"), "character_set", "code_point", "gcgid").distinct()
+    points = written(points, "points")
+    maps = points.select("path", "map_seq", "font_id", "character_set").distinct()
+    key = ["path", "field_seq", "cs_seq"]
+    runs = runs.select(*key, "font_id", "params", "size", "upi").filter(F.octet_length("params") > 0)
+    force = runs.select(*key, "font_id").join(maps, ["path", "font_id"]).filter(F.col("map_seq") < F.col("field_seq")).groupBy(*key).agg(F.max_by(F.struct("map_seq", "character_set"), "map_seq").alias("m"))
+    runs = runs.join(force, key).select(*runs.columns, "m.*").join(metrics, ["path", "character_set"])
+    runs = runs.filter((F.col("point_size") >= LEAST_POINTS) | F.lit(small))
+    codes = F.transform(F.sequence(F.lit(0), F.octet_length("params") - 1), lambda k: F.conv(F.hex(F.substring("params", k + 1, F.lit(1))), 16, 10).cast("int"))
+    rows = runs.select("*", F.posexplode(codes).alias("pos", "code_point")).drop("params")
+    rows = rows.join(points, ["path", "map_seq", "font_id", "character_set", "code_point"], "left").join(shapes, ["path", "character_set", "gcgid"], "left")
+    whole = Window.partitionBy(*key)
+    rows = rows.withColumn("share", F.avg(F.col("glyph").isNotNull().cast("double")).over(whole)).filter(F.col("share") >= COVERED)
+    em = F.when(F.col("point_size") > 0, F.bround(F.col("point_size") / 72 * F.col("upi")).cast("int")).otherwise(F.col("size"))
+    pel = F.when(F.col("resolution") > 0, F.col("upi") / F.col("resolution")).otherwise(F.col("size") / F.col("tallest"))
+    rows = rows.withColumns({"em": em, "pel": pel})
+    usual = F.greatest(F.lit(1), F.bround(F.lit(0.5) * F.col("em")).cast("int"))
+    stated = F.when(F.col("glyph.char_increment") > 0, F.greatest(F.bround(F.col("glyph.char_increment") / 1000 * F.col("em")).cast("int"), F.lit(1)))
+    rows = rows.withColumn("step", F.coalesce(stated, usual))
+    before = whole.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select(*key, "pos", "glyph", "em", "pel", "step", F.coalesce(F.sum("step").over(before), F.lit(0)).cast("int").alias("along"))
+
+
+def glyph_pictures(drawn: DataFrame, runs: DataFrame) -> DataFrame:
+    """Pictures of drawn bytes; runs: (path, owner, field_seq, cs_seq, x, y, orientation, color) of the same runs.
+
+    A glyph stands on the baseline, or below by its offset; turned runs turn about their start.
+    """
+    g = F.col("glyph")
+    extent = lambda c: F.greatest(F.lit(1), F.bround(g[c] * F.col("pel")).cast("int"))
+    drop = F.bround(g["baseline_offset"] / 1000 * F.col("em")).cast("int")
+    rows = drawn.filter(g.isNotNull()).join(runs, ["path", "field_seq", "cs_seq"])
+    turn = F.when(F.col("orientation") != 0, F.struct(F.col("orientation").alias("angle"), F.col("x").alias("cx"), F.col("y").alias("cy")))
+    return rows.select(
+        "path", "owner", "field_seq", "cs_seq", "pos", (F.col("x") + F.col("along")).alias("x"), (F.col("y") - extent("height") + drop).alias("y"), extent("width").alias("width"), extent("height").alias("height"),
+        F.when(F.col("color") != "#000000", F.col("color")).alias("recolor"), turn.alias("rotate"), g["width"].alias("pels"), g["height"].alias("lines"), g["bits"].alias("bits"),
+    )

@@ -12,6 +12,8 @@ wraps by what came before, is folded in sequence, a file at a time.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -223,8 +225,11 @@ def fonts_in_force(rows: DataFrame, sizes: DataFrame, fields: DataFrame, faces:
     return runs.select("path", "field_seq", "cs_seq", "font", F.col("page").alias("font_codec"), notes.alias("font_notes"), "declared")
 
 
-def with_state(fields: DataFrame, codec: str = "cp500", faces: DataFrame | None = None) -> DataFrame:
-    """Controls with the last values in force at them, and with text, font and size at runs."""
+def with_state(fields: DataFrame, codec: str = "cp500", faces: DataFrame | None = None, drawn: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(controls with the last values in force at them, and with text, font and size at runs; what ``drawn`` makes of the runs).
+
+    drawn: which runs are drawn byte by byte, with the step of each; the pen follows their steps.
+    """
     t, p = F.col("cs_type"), F.col("params")
     rows = controls(fields)
     w = Window.partitionBy("path", "owner").orderBy("field_seq", "cs_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -254,7 +259,13 @@ def with_state(fields: DataFrame, codec: str = "cp500", faces: DataFrame | None
     rows = rows.withColumns({"run": text, "size": size, "sized": F.coalesce("declared", F.lit(False))})
     spaces = F.length("run.text") - F.length(F.replace(F.col("run.text"), F.lit(" "), F.lit("")))
     advance = (F.length("run.text") - spaces) * F.col("size") * ADVANCE + spaces * F.coalesce(F.col("space").cast("double"), F.col("size") * ADVANCE)
-    return rows.withColumns({"spaces": spaces, "advance": advance.cast("int")})
+    rows = rows.withColumns({"spaces": spaces, "advance": advance.cast("int")})
+    if drawn is None:
+        return rows.withColumn("by_glyphs", F.lit(False)), None
+    own = written(drawn(rows.filter((t == TRN) & F.col("font_id").isNotNull())), "drawn-bytes")
+    steps = own.groupBy("path", "field_seq", "cs_seq").agg(F.sum("step").cast("int").alias("steps"))
+    rows = rows.join(steps, ["path", "field_seq", "cs_seq"], "left")
+    return rows.withColumns({"advance": F.coalesce("steps", "advance"), "by_glyphs": F.col("steps").isNotNull()}).drop("steps"), own
 
 
 def with_pen(rows: DataFrame) -> DataFrame:
@@ -299,7 +310,7 @@ def _texts(rows: DataFrame) -> DataFrame:
         F.when((run["codec"] != "utf-16-be") & F.col("font_codec").isNull(), _note("codepage", F.format_string(NO_CODE_PAGE, run["codec"]))),
     ]
     told = F.transform(F.coalesce("font_notes", F.array().cast("array<string>")), lambda m: _note("font", m))
-    return rows.filter((F.col("cs_type") == TRN) & ~run["blank"]).select(
+    return rows.filter((F.col("cs_type") == TRN) & ~run["blank"] & ~F.col("by_glyphs")).select(
         "path", "owner", F.struct("field_seq", "cs_seq", F.lit(-1).alias("of_seq"), F.lit(-1).alias("of_cs")).alias("item"),
         F.when(swap, F.col("b")).otherwise(F.col("i")).alias("x"), F.when(swap, F.col("i")).otherwise(F.col("b")).alias("y"),
         text.alias("text"), "color", "font_id", F.col("size").alias("font_size"), F.coalesce("font.family", F.lit("Arial")).alias("font_family"),
@@ -453,7 +464,7 @@ def layout(fields: DataFrame, codec: str = "cp500", faces: DataFrame | None = No
     """(pages, text runs, rules) of all files; runs and rules by (path, page_idx, item_seq), bracketed pages first."""
     fields = written(with_owner(fields.filter(F.col("sf_id").isin(*READ))), "fields")
     found = written(objects(fields), "objects")
-    state = written(with_state(fields, codec, faces), "controls")  # both kinds of text, and rules, are drawn from it
+    state = written(with_state(fields, codec, faces)[0], "controls")  # both kinds of text, and rules, are drawn from it
     placed_rows = with_pen(state.filter(F.col("owner").isNotNull()))
     texts, rules = placed_texts, placed_rules = _texts(placed_rows), _rules(placed_rows)
     kinds = found.select("path", "owner", "kind")
@@ -491,6 +502,18 @@ def layout(fields: DataFrame, codec: str = "cp500", faces: DataFrame | None = No
     return pages.unionByName(flow[0]), texts.unionByName(flow[1].drop(*drop)), rules.unionByName(flow[2].drop(*drop))
 
 
+def drawn_text(fields: DataFrame, drawn: Callable[[DataFrame], DataFrame], codec: str = "cp500") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(drawn bytes, their runs with places, the text they stand for) of bracketed pages, where ``drawn`` tells which runs are drawn byte by byte."""
+    fields = written(with_owner(fields.filter(F.col("sf_id").isin(*READ))), "fields")
+    pages = written(objects(fields), "objects").filter("kind = 'page'").select("path", "owner", "page_idx")
+    state, own = with_state(fields, codec, drawn=drawn)
+    swap = F.col("orientation").isin(90, 270)
+    rows = with_pen(written(state.filter(F.col("owner").isNotNull()), "controls")).filter("by_glyphs").join(pages, ["path", "owner"])
+    rows = rows.withColumns({"x": F.when(swap, F.col("b")).otherwise(F.col("i")), "y": F.when(swap, F.col("i")).otherwise(F.col("b"))})
+    text = rows.filter("font_codec IS NOT NULL AND NOT run.blank").select("path", "page_idx", "field_seq", "cs_seq", "x", "y", F.col("run.text").alias("text"), "font_id", F.col("offset").alias("src"))
+    return own, rows.select("path", "owner", "page_idx", "field_seq", "cs_seq", "x", "y", "orientation", "color"), text
+
+
 def _paginated(texts: DataFrame, rules: DataFrame, fields: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Text outside all pages cut into pages of the default height, after a file's bracketed pages."""
     sized = objects_default(fields)

@@ -229,13 +229,14 @@ def code_pages(fields: DataFrame) -> DataFrame:
 
 
 def fonts(fields: DataFrame) -> DataFrame:
-    """(path, object, name, typeface, technology, record_size, alignment, fni, fnm, fng, fnn) of embedded character sets."""
+    """(path, object, name, typeface, technology, record_size, alignment, resolution, point_size, fni, fnm, fng, fnn) of embedded character sets."""
     rows = bracketed(fields.filter(F.col("sf_id").isin(BFN, EFN, FNC, FND, FNI, FNM, FNG, FNN)), BFN, EFN)
     last = lambda kind: F.max(F.when(F.col("sf_id") == kind, F.struct("field_seq", "data")))["data"]
     found = rows.groupBy("path", "object").agg(F.first("token").alias("token"), last(FNC).alias("fnc"), last(FND).alias("fnd"), *[payload(k).alias(n) for k, n in ((FNI, "fni"), (FNM, "fnm"), (FNG, "fng"), (FNN, "fnn"))])
     return found.select(
         "path", "object", ebcdic_text("token").alias("name"), F.trim(F.substring_index(glyph_name(F.when(F.octet_length("fnd") >= 32, F.substring("fnd", 1, 32))), "@", 1)).alias("typeface"), unsigned(F.col("fnc"), 1, 1).alias("technology"),
-        F.coalesce(unsigned(F.col("fnc"), 15, 1), F.lit(28)).alias("record_size"), unsigned(F.col("fnc"), 16, 1).alias("alignment"), "fni", "fnm", "fng", "fnn",
+        F.coalesce(unsigned(F.col("fnc"), 15, 1), F.lit(28)).alias("record_size"), unsigned(F.col("fnc"), 16, 1).alias("alignment"),
+        F.coalesce(F.floor(unsigned(F.col("fnc"), 24, 2) / 10).cast("int"), F.lit(0)).alias("resolution"), F.coalesce(unsigned(F.col("fnd"), 34, 2) / 10, F.lit(0.0)).alias("point_size"), "fni", "fnm", "fng", "fnn",
     )
 
 

@@ -309,6 +309,29 @@ def sample_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumnRenamed("path", "sample")
 
 
+def _lettering(key: int, size: int) -> bytes:
+    """An embedded raster font of three letters at 24 points, with its code page; a run in it, a turned one, one that it doesn't cover."""
+    index = b"".join(_e(f"L{c}020000") + struct.pack(">HHhHH", 500 + 100 * k, 0, 125 * k, 0, k) + bytes(10) for k, c in enumerate("ABC"))
+    boxes = b"".join(struct.pack(">HHI", 7, 3 + k, 0) for k in range(3))
+    control = bytes([1, 5]) + bytes(13) + bytes([28]) + bytes(8) + struct.pack(">H", 3000) + bytes(2)
+    face = _e("LETTERS".ljust(32)) + bytes(2) + struct.pack(">H", 240) + bytes(4)
+    return _doc(
+        _sf("D3A887", _e("T1OWN003")), _sf("D38C87", b"".join(_e(f"L{c}020000") + bytes([0, 0xC1 + k]) for k, c in enumerate("ABC"))), _sf("D3A987", _e("T1OWN003")),
+        _sf("D3A889", _e("C0OWN003")), _sf("D3A789", control), _sf("D3A689", face), _sf("D38C89", index), _sf("D3A289", boxes), _sf("D3EE89", bytes(range(16))), _sf("D3A989", _e("C0OWN003")),
+        _sf("D3AB8A", b"\x00\x1e" + _t(0x02, b"\x85\x00" + _e("T1OWN003")) + _t(0x02, b"\x86\x00" + _e("C0OWN003")) + _t(0x24, b"\x05\x07")),
+        _page(_ptx(b"\xf0\x07", b"\xc6" + _h(size), b"\xd2" + _h(key % 1000), b"\xda" + _e("ABzA"), b"\xda" + _e("xyzA"), b"\xf6" + struct.pack(">HH", 11520, 23040), b"\xc6" + _h(300), b"\xd2" + _h(400), b"\x74\x00\x02", b"\xda" + _e("C"))),
+    )
+
+
+def glyph_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text drawn in a file's own raster glyphs: the glyph of each byte, its place and extent, and the turn of its run."""
+    found = written(read(table(spark, sf_dir, "part"), F.col("p_partkey"), building(_lettering)("p_partkey", "p_size")), "lettering")
+    drawn, runs, _ = layout.drawn_text(found, lambda rows: glyphs.drawn_bytes(rows, found))
+    rows = glyphs.glyph_pictures(drawn, runs)
+    nothing = F.lit(-1)
+    return rows.select(F.col("path").cast("long").alias("p_partkey"), "cs_seq", "pos", "x", "y", "width", "height", F.coalesce("recolor", F.lit("")).alias("recolor"), F.coalesce("rotate.angle", nothing).alias("angle"), F.hex("bits").alias("bits"))
+
+
 def _card(key: int, name: str) -> bytes:
     text = f'<{name}> & "co"'
     return _doc(_sf("D3A6AF", struct.pack(">BBHHBHBHB", 0, 0, 14400, 14400, 0, 4000, 0, 3000, 0) + bytes(2)), _page(_ptx(b"\xc6" + _h(key % 2000), b"\xd2" + _h(400), b"\xda" + _e(text), b"\xe4" + _h(-300) + _h(20), b"\xe6" + _h(500) + _h(3))))
@@ -324,7 +347,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         triplet_details, field_inspection, stream_counts, framing_errors, text_state, overlays_and_loose_text, drawings, images_placed, bar_code_symbols, embedded_code_pages, embedded_glyphs,
-        resources_missing, specimen_sheets, sample_streams, page_pictures, bare_overlays, pages_of_text_fields, bridged_code_points, named_characters, glyph_coverage, tallest_glyphs,
+        resources_missing, specimen_sheets, sample_streams, glyph_texts, page_pictures, bare_overlays, pages_of_text_fields, bridged_code_points, named_characters, glyph_coverage, tallest_glyphs,
     )
 }
 
@@ -396,6 +419,10 @@ SQL = {
         UNION ALL SELECT p_partkey, 0, 'L' || chr((65 + (p_size + k) % 26)::INT) || '020000', (640 + 1700 * i)::INT, 1910, 170, -1 FROM shown
         UNION ALL SELECT p_partkey, 0, 'Embedded raster font: OWN FACE — ' || count(*) || ' glyphs', 600, 600, 440, -1 FROM shown GROUP BY 1
         UNION ALL SELECT DISTINCT p_partkey, 0, 'page', -1, -1, 12240, 2880 FROM shown""",
+    "glyph_texts": """
+        SELECT p_partkey, v.cs_seq::INT AS cs_seq, v.pos::INT AS pos, v.x::INT AS x, v.y::INT AS y, 38::INT AS width, v.height::INT AS height, v.recolor, v.angle::INT AS angle, v.bits FROM part, LATERAL (VALUES
+            (3, 0, p_size, p_partkey % 1000 - 19, 19, '', -1, '00010203'), (3, 1, p_size + 240, p_partkey % 1000 - 24 + 60, 24, '', -1, '0001020304'), (3, 3, p_size + 240 + 288 + 240, p_partkey % 1000 - 19, 19, '', -1, '00010203'),
+            (9, 0, 400, 300 - 29 + 120, 29, '#ff0000', 90, '000102030405')) AS v(cs_seq, pos, x, y, height, recolor, angle, bits)""",
     "sample_streams": """
         SELECT * FROM (VALUES ('text.afp', 6::BIGINT, 1::BIGINT, '', 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT), ('overlay.afp', 13, 2, '', 0, 0, 0, 0), ('drawing.afp', 11, 1, '', 0, 1, 0, 0),
             ('image.afp', 10, 1, '', 1, 0, 0, 0), ('bar-code.afp', 9, 1, '', 0, 0, 1, 0), ('font.afp', 7, 0, 'font character set', 0, 0, 0, 2)) AS v(sample, n_fields, bracketed_pages, resource_kind, images, drawings, symbols, glyphs)""",
