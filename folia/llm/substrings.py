@@ -280,7 +280,7 @@ def _settled(parts: int):
 def _texts(parts: int):
     def texts(batches):
         """Texts, compressed, by the part of their document; null ids, of which there may be many, by their texts."""
-        packer = zstandard.ZstdCompressor(level=3)
+        packer = zstandard.ZstdCompressor(level=6)
         for batch in batches:
             ids, at = batch.column(0).to_pylist(), 0
             for piece in slices(batch.column(1)):
@@ -372,9 +372,10 @@ def _found(texts: list, spans: list, windows: list, parts: int) -> list[tuple]:
 def _matched(parts: int):
     def matched(batches):
         """Sorts the buckets of a part's windows on the identifiers at the later offset; spans of those that a lesser document holds too."""
-        packs, _ = _of_kinds(batches, WINDOWS)
+        packs, others = _of_kinds(batches, WINDOWS)
+        yield from _rows(others)  # spans, which are known already
         doc, tag, start, one, two = _unpacked(packs, np.int64, np.int64, np.int64, np.uint64, np.uint64)
-        del packs
+        del packs, others
         order = np.lexsort((doc, two, one))
         hit = order[_known(doc[order], _changes(one[order], two[order]))] if len(order) else order
         hit.sort()
@@ -441,9 +442,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", parts: int | None = None
     sorted_ = lambda rows: dealt(rows).sortWithinPartitions("kind")
     back = stored(dealt(known.mapInArrow(_entries(parts), ROW)).mapInArrow(_settled(parts), ROW), "repeats")
     texts = known.mapInArrow(_texts(parts), ROW)
-    found = stored(sorted_(back.filter(F.col("kind") == BACK).unionByName(texts)).mapInArrow(_refined(parts), ROW), "windows")
-    hits = stored(dealt(found.filter(F.col("kind") == WINDOWS)).mapInArrow(_matched(parts), ROW), "hits")
-    spans = back.filter(F.col("kind") == SPANS).unionByName(found.filter(F.col("kind") == SPANS)).unionByName(hits)
+    found = sorted_(back.filter(F.col("kind") == BACK).unionByName(texts)).mapInArrow(_refined(parts), ROW)
+    hits = stored(dealt(found).mapInArrow(_matched(parts), ROW), "hits")
+    spans = back.filter(F.col("kind") == SPANS).unionByName(hits)
     return sorted_(spans.unionByName(docs.mapInArrow(_texts(parts), ROW))).mapInArrow(_removed(with_text), RESULT)
 
 

@@ -127,8 +127,8 @@ def test_substrings_in_tasks(monkeypatch, chunk, hot, sent):
     back = [b for own in dealt(*(substrings._entries(parts)([x]) for x in batches)) for b in substrings._settled(parts)(own)]
     texts = [b for x in batches for b in substrings._texts(parts)([x])]
     found = [b for own in dealt(only(back, substrings.BACK), texts) for b in substrings._refined(parts)(own)]
-    hits = [b for own in dealt(only(found, substrings.WINDOWS)) for b in substrings._matched(parts)(own)]
-    spans = only(back, substrings.SPANS), only(found, substrings.SPANS), hits, texts
+    hits = [b for own in dealt(found) for b in substrings._matched(parts)(own)]
+    spans = only(back, substrings.SPANS), hits, texts
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for own in dealt(*spans) for b in substrings._removed(False)(own) for r in b.to_pylist()}
     assert got == brute_repeats(rows)
 
