@@ -36,6 +36,11 @@ def in_file(*more: str) -> Window:
     return Window.partitionBy("path", *more).orderBy("field_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
+def joined(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str = "inner") -> DataFrame:
+    """A join of tables that grow with the files. Neither side is broadcast: estimates are of the tables that streams are made of, or of packed Parquet, and far too small."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def named(fields: DataFrame) -> DataFrame:
     """Adds type_code, category_code, type_name, name and token_name."""
     kind = F.shiftright("sf_id", 8).bitwiseAND(0xFF)

@@ -13,22 +13,23 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from folia.functions import glyph_ids
-from folia.operators.fields import coded_fonts
+from folia.operators.fields import coded_fonts, joined
 from folia.operators.objects import code_pages, font_characters, font_glyphs, fonts, glyph_name
 from folia.sources.shared import written
 
-POINTS = T.ArrayType(T.StructType([T.StructField("code_point", T.IntegerType()), T.StructField("gcgid", T.StringType())]))
-
 #: Least share of a run's bytes that must have a glyph.
 COVERED = 0.7
 
 
-@F.arrow_udf(POINTS)
-def points_of_codec(codecs: pa.Array) -> pa.Array:
-    known: dict[str | None, list] = {None: []}
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def points_of_glyph(codecs: pa.Array, gcgids: pa.Array) -> pa.Array:
+    """The code points that a codec has for a glyph."""
+    known: dict[str | None, dict[str, list[int]]] = {None: {}}
     for c in set(codecs.to_pylist()) - {None}:
-        known[c] = [{"code_point": k, "gcgid": name} for k, name in glyph_ids.of_codec(c)]
-    return pa.array([known[c] for c in codecs.to_pylist()], pa.list_(pa.struct([("code_point", pa.int32()), ("gcgid", pa.string())])))
+        own = known[c] = {}
+        for k, name in glyph_ids.of_codec(c):
+            own.setdefault(name, []).append(k)
+    return pa.array([known[c].get(g) for c, g in zip(codecs.to_pylist(), gcgids.to_pylist())], pa.list_(pa.int32()))
 
 
 def character_names(found: DataFrame) -> DataFrame:
@@ -68,12 +69,13 @@ def drawable_points(fields: DataFrame) -> DataFrame:
     """
     maps = coded_fonts(fields).filter("code_page IS NOT NULL AND character_set IS NOT NULL").select("path", "field_seq", "local_id", "code_page", "character_set", "codec")
     own = code_pages(fields).select("path", F.col("name").alias("code_page"), "code_point", "gcgid")
-    embedded = maps.join(own, ["path", "code_page"]).withColumn("bridged", F.lit(False))
-    outside = maps.join(own.select("path", "code_page").distinct(), ["path", "code_page"], "left_anti")
-    outside = outside.withColumn("p", F.explode(points_of_codec("codec"))).select(*maps.columns, "p.*").withColumn("bridged", F.lit(True))
-    found = fonts(fields)
-    glyphs = font_characters(found).join(found.select("path", "object", F.col("name").alias("character_set")), ["path", "object"]).select("path", "character_set", "gcgid").distinct()
-    both = embedded.unionByName(outside).join(glyphs, ["path", "character_set", "gcgid"], "left_semi")
+    embedded = joined(maps, own, ["path", "code_page"]).withColumn("bridged", F.lit(False))
+    outside = joined(maps, own.select("path", "code_page").distinct(), ["path", "code_page"], "left_anti")
+    glyphs = font_characters(fonts(fields), "name").select("path", F.col("name").alias("character_set"), "gcgid").distinct()
+    embedded = joined(embedded, glyphs, ["path", "character_set", "gcgid"], "left_semi")
+    # From the glyphs to their code points: a font has fewer than a codec has points.
+    outside = joined(outside, glyphs, ["path", "character_set"]).withColumn("code_point", F.explode(points_of_glyph("codec", "gcgid"))).withColumn("bridged", F.lit(True))
+    both = embedded.unionByName(outside)
     return both.select("path", "field_seq", "local_id", "code_page", "character_set", "bridged", "code_point", "gcgid")
 
 

@@ -240,11 +240,11 @@ def fonts(fields: DataFrame) -> DataFrame:
     )
 
 
-def font_characters(found: DataFrame) -> DataFrame:
-    """(path, object, rec_seq, gcgid, char_increment, baseline_offset, pattern) of a font's index."""
+def font_characters(found: DataFrame, *more: str) -> DataFrame:
+    """(path, object, rec_seq, gcgid, char_increment, baseline_offset, pattern) of a font's index, after those columns that the font has ``more``."""
     rows = _records(found.filter("record_size >= 10"), "fni", F.col("record_size"))
     r = F.col("rec")
-    return rows.select("path", "object", "rec_seq", glyph_name(F.substring("rec", 1, 8)).alias("gcgid"), unsigned(r, 8, 2).alias("char_increment"), signed(r, 12, 2).alias("baseline_offset"), unsigned(r, 16, 2).alias("pattern"))
+    return rows.select(*more, "path", "object", "rec_seq", glyph_name(F.substring("rec", 1, 8)).alias("gcgid"), unsigned(r, 8, 2).alias("char_increment"), signed(r, 12, 2).alias("baseline_offset"), unsigned(r, 16, 2).alias("pattern"))
 
 
 #: Bytes of a pattern, and patterns of a font, at most.

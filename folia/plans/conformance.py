@@ -267,7 +267,7 @@ def _bridge(key: int, size: int) -> bytes:
 
 def bridged_code_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code points of external code pages that embedded fonts can draw, by the identity of characters."""
-    found = glyphs.drawable_points(read(table(spark, sf_dir, "part"), F.col("p_partkey"), building(_bridge)("p_partkey", "p_size")))
+    found = glyphs.drawable_points(written(read(table(spark, sf_dir, "part"), F.col("p_partkey"), building(_bridge)("p_partkey", "p_size")), "bridge"))
     return found.select(F.col("path").cast("long").alias("p_partkey"), "local_id", "code_page", "character_set", "bridged", "code_point", "gcgid")
 
 
