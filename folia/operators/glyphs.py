@@ -85,7 +85,7 @@ def coverage(runs: DataFrame, points: DataFrame) -> DataFrame:
     each = runs.withColumn("code_point", F.explode_outer(F.when(F.octet_length("params") > 0, codes)))
     known = points.select("path", "local_id", "code_point", F.lit(1.0).alias("hit")).distinct()
     share = F.when(F.count("code_point") == 0, F.lit(1.0)).otherwise(F.coalesce(F.sum("hit"), F.lit(0.0)) / F.count("code_point"))
-    rows = each.join(known, ["path", "local_id", "code_point"], "left").groupBy("path", "item").agg(share.alias("share"))
+    rows = joined(each, known, ["path", "local_id", "code_point"], "left").groupBy("path", "item").agg(share.alias("share"))
     return rows.withColumn("covered", F.col("share") >= COVERED)
 
 

@@ -279,7 +279,7 @@ def named_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def glyph_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether an embedded font has glyphs for enough bytes of a run."""
-    found = read(table(spark, sf_dir, "part"), F.col("p_partkey"), building(_bridge)("p_partkey", "p_size"))
+    found = written(read(table(spark, sf_dir, "part"), F.col("p_partkey"), building(_bridge)("p_partkey", "p_size")), "bridge")
     runs = layout.controls(found).filter(F.col("cs_type") == layout.TRN).select("path", F.col("field_seq").alias("item"), F.lit(7).alias("local_id"), "params")
     return glyphs.coverage(runs, glyphs.drawable_points(found)).select(F.col("path").cast("long").alias("p_partkey"), F.round("share", 6).alias("share"), "covered")
 

@@ -27,3 +27,10 @@ def test_points_of_glyphs(spark):
     rows = spark.createDataFrame([("cp500", "LA010000"), ("cp500", "LA990000"), ("none", "LA010000"), (None, "LA010000"), ("cp500", None)], "codec string, gcgid string")
     found = [r.p or [] for r in rows.select(glyphs.points_of_glyph("codec", "gcgid").alias("p")).collect()]
     assert found == [[0x81], [], [], [], []]
+
+
+def test_glyph_coverage(spark, parts):
+    found = conformance.glyph_coverage(spark, parts)
+    assert "SortMergeJoin" in planned(found) and "Broadcast" not in planned(found)
+    want = {(k, ((k % 50 + 1) % 10 + 1) / 10) for k in range(40)}
+    assert {(r.p_partkey, r.share) for r in found.collect()} == want and found.filter("covered != (share >= 0.7)").isEmpty()
