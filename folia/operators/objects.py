@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from folia.functions import drawing, scans
 from folia.functions import images as kernel
 from folia.functions.text import font_name
-from folia.operators.fields import BPG, ebcdic_text, in_file
+from folia.operators.fields import BPG, ebcdic_text, in_file, joined
 from folia.operators.layout import UPI, floor_scale, objects, signed, unsigned, with_owner
 
 BIM, EIM, IPD, BBC, EBC, BDD, BDA, BGR, EGR, GAD, GDD = 0xD3A8FB, 0xD3A9FB, 0xD3EEFB, 0xD3A8EB, 0xD3A9EB, 0xD3A6EB, 0xD3EEEB, 0xD3A8BB, 0xD3A9BB, 0xD3EEBB, 0xD3A6BB
@@ -189,8 +189,8 @@ def graphics(fields: DataFrame) -> DataFrame:
     last = lambda kind: F.max(F.when(F.col("sf_id") == kind, F.struct("field_seq", "data")))["data"]
     closed = F.max(F.when(F.col("sf_id") == EGR, F.struct("field_seq", "owner")))
     found = bracketed(rows, BGR, EGR).groupBy("path", "object").agg(closed.alias("end"), payload(GAD).alias("gad"), last(GDD).alias("gdd"), last(OBD).alias("obd"), last(OBP).alias("obp"))
-    found = found.filter(F.col("end.owner").isNotNull()).withColumns({"d": drawn("gdd", "gad"), "area": object_area("obd")}).filter(F.col("d").isNotNull())
-    found = found.withColumn("owner", F.col("end.owner")).join(pages, ["path", "owner"])
+    found = joined(found.filter(F.col("end.owner").isNotNull()).withColumn("owner", F.col("end.owner")), pages, ["path", "owner"])
+    found = found.withColumns({"d": drawn("gdd", "gad"), "area": object_area("obd")}).filter(F.col("d").isNotNull())
     upi = F.coalesce("area.upi", "page_upi")
     place = lambda at: F.coalesce(F.when(F.octet_length("obp") >= 8, signed(F.col("obp"), at, 3)), F.lit(0))
     return found.select(

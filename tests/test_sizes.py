@@ -34,3 +34,9 @@ def test_glyph_coverage(spark, parts):
     assert "SortMergeJoin" in planned(found) and "Broadcast" not in planned(found)
     want = {(k, ((k % 50 + 1) % 10 + 1) / 10) for k in range(40)}
     assert {(r.p_partkey, r.share) for r in found.collect()} == want and found.filter("covered != (share >= 0.7)").isEmpty()
+
+
+def test_drawings(spark, parts):
+    found = conformance.drawings(spark, parts)
+    assert "SortMergeJoin" in planned(found) and "Broadcast" not in planned(found)
+    assert sorted(r.p_partkey for r in found.collect()) == list(range(40))
