@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from folia.functions import describe, scans
 from folia.functions.text import LABELS, coded_points, coded_typeface, run_text, substitute
-from folia.operators.fields import BDT, BMO, BPG, EMO, EPG, IPO, MCF1, MCF2, MDR, MPO, PGD, PTX, coded_fonts, ebcdic_text, in_file, labels
+from folia.operators.fields import BDT, BMO, BPG, EMO, EPG, IPO, MCF1, MCF2, MDR, MPO, PGD, PTX, coded_fonts, ebcdic_text, in_file, joined, labels
 from folia.sources.shared import written
 
 WIDTH, HEIGHT, UPI = 12240, 15840, 1440
@@ -247,7 +247,7 @@ def with_state(fields: DataFrame, codec: str = "cp500", faces: DataFrame | None
     })
     sizes = objects(fields)
     upi = F.coalesce("upi", F.lit(UPI))
-    rows = rows.join(sizes.select("path", "owner", "upi"), ["path", "owner"], "left").withColumn("upi", upi)
+    rows = joined(rows, sizes.select("path", "owner", "upi"), ["path", "owner"], "left").withColumn("upi", upi)
     if fields.filter(F.col("sf_id").isin(MDR, MCF1, MCF2)).isEmpty():  # no file maps a font
         force = {"font": info_type(), "font_codec": T.StringType(), "font_notes": T.ArrayType(T.StringType()), "declared": T.BooleanType()}
         rows = rows.withColumns({c: F.lit(None).cast(kind) for c, kind in force.items()})
@@ -405,9 +405,9 @@ def bare_overlays(fields: DataFrame, found: DataFrame, state: DataFrame) -> Data
     """Overlays of files with neither a document nor pages nor text outside them: the last of each name, with the place of the first."""
     used = fields.filter(F.col("sf_id") == BDT).select("path").unionByName(found.filter("kind = 'page'").select("path"))
     used = used.unionByName(state.filter(F.col("owner").isNull() & F.col("cs_type").isin(TRN, DIR, DBR)).select("path")).distinct()
-    own = found.filter("kind = 'overlay' AND name <> ''").join(used, "path", "left_anti")
+    own = joined(found.filter("kind = 'overlay' AND name <> ''"), used, "path", "left_anti")
     first = own.groupBy("path", "name").agg(F.min("closed").alias("first"), F.max("closed").alias("closed"))
-    return own.drop("page_idx").join(first, ["path", "name", "closed"])
+    return joined(own.drop("page_idx"), first, ["path", "name", "closed"])
 
 
 def _capped(items: DataFrame) -> DataFrame:
@@ -468,7 +468,7 @@ def layout(fields: DataFrame, codec: str = "cp500", faces: DataFrame | None = No
     placed_rows = with_pen(state.filter(F.col("owner").isNotNull()))
     texts, rules = placed_texts, placed_rules = _texts(placed_rows), _rules(placed_rows)
     kinds = found.select("path", "owner", "kind")
-    of = lambda items, kind: items.join(kinds.filter(F.col("kind") == kind), ["path", "owner"], "left_semi")
+    of = lambda items, kind: joined(items, kinds.filter(F.col("kind") == kind), ["path", "owner"], "left_semi")
     on_pages, rules_on_pages = of(texts, "page"), of(rules, "page")
     if not fields.filter(F.col("sf_id") == IPO).isEmpty():
         on = written(inclusions(fields, found), "inclusions")
@@ -482,7 +482,7 @@ def layout(fields: DataFrame, codec: str = "cp500", faces: DataFrame | None = No
     cut = capped.select("path", "owner", "more").unionByName(rules.select("path", "owner", "more")).groupBy("path", "owner").agg(F.max("more").alias("truncated"))
     index = pages.select("path", "owner", "page_idx")
     drop = ("owner", "item", "more", "sized", "upi")
-    texts, rules = (x.join(index, ["path", "owner"]).drop(*drop) for x in (texts, rules))
+    texts, rules = (joined(x, index, ["path", "owner"]).drop(*drop) for x in (texts, rules))
     counts = pages.groupBy("path").agg(F.count("*").alias("bracketed"))
     pages = pages.join(cut, ["path", "owner"], "left").select("path", "page_idx", "width", "height", F.col("upi").alias("units_per_inch"), F.coalesce("truncated", F.lit(False)).alias("truncated"), F.lit("bracketed").alias("kind"))
     alone = bare_overlays(fields, found, state)

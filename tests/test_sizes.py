@@ -40,3 +40,13 @@ def test_drawings(spark, parts):
     found = conformance.drawings(spark, parts)
     assert "SortMergeJoin" in planned(found) and "Broadcast" not in planned(found)
     assert sorted(r.p_partkey for r in found.collect()) == list(range(40))
+
+
+def test_rules_extent(spark, tmp_path, monkeypatch):
+    plans, written = [], layout.written
+    monkeypatch.setattr(layout, "written", lambda df, name: plans.append(planned(df)) or written(df, name))
+    spark.range(60).selectExpr("id % 20 AS l_orderkey", "CAST(id % 50 + 1 AS double) AS l_quantity").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = queries.rules_extent(spark, str(tmp_path))
+    plans.append(planned(found))
+    assert sum("SortMergeJoin" in p for p in plans) >= 2 and not any("Broadcast" in p for p in plans)
+    assert {tuple(r) for r in found.collect()} == {(k, 3, sum(10 * ((k + j) % 50 + 1) for j in (0, 20, 40))) for k in range(20)}
