@@ -61,9 +61,12 @@ DAMP, PRIOR, ROUNDS, RATE, LEAST = 0.5, 8.0, 2, 0.3, 8.0
 END = b""
 
 
+MARKS = b".,;:!?|\"')"
+
+
 def ending(word: bytes) -> int:
     """The class of a word that has none of its own."""
-    return SINGLE + zlib.crc32(word.rstrip(b".,;:!?|\"')")[-3:]) % (CLASSES - SINGLE)
+    return SINGLE + zlib.crc32(word.rstrip(MARKS)[-3:]) % (CLASSES - SINGLE)
 
 
 def tail_id(word: bytes) -> int:
@@ -71,6 +74,18 @@ def tail_id(word: bytes) -> int:
     return -1 - (zlib.crc32(word) >> 8 << 7 | ending(word) - SINGLE)
 
 
+def tail_ids(words: list[bytes]) -> np.ndarray:
+    """tail_id of each word."""
+    prints = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+    ends = np.fromiter((zlib.crc32(w.rstrip(MARKS)[-3:]) for w in words), np.int64, len(words))
+    return -1 - (prints >> 8 << 7 | ends % (CLASSES - SINGLE))
+
+
+def listed(words: pa.Array) -> list[bytes]:
+    """Words as Python's bytes; many times as fast as to_pylist."""
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(32)
@@ -161,8 +176,10 @@ class Vocabulary:
         self.bits = tuple(b + more for b in BITS)
         self.frequent = 1 << (self.bits[0] - 3)
         self.contexts = mixed(np.array([k if k < self.frequent else (1 << 33) + zlib.crc32(w) for k, w in enumerate(self.words)] or [0], np.int64))
-        # Rows of the features that are classes only.
+        # Rows of the features that are one word of the head, or classes only.
         b1, b2, b3 = self.bits
+        rare = np.arange(len(self.contexts)) >= self.frequent
+        self.of_words = [np.append(_hashed(self.contexts, kind, b1, rare), _hashed(np.array([_START]), kind, b1)) for kind in (1, 2)]
         near = np.arange(CLASSES + 1)
         self.of_pair = _hashed(mixed(np.arange((CLASSES + 1) ** 2) + (1 << 41)), 4, b1)
         self.of_group = _hashed(mixed(near + (1 << 42))[:, None] ^ np.arange(GROUPS).astype(np.uint64) * _GROUP, 7, b2).ravel()
@@ -186,7 +203,7 @@ def _rest(alone):
         """Tokens and words of all and of each class's last leaf, of a task's share of the table of counts."""
         tokens, distinct, own = np.zeros(CLASSES + 1, np.int64), np.zeros(CLASSES + 1, np.int64), alone.value
         for batch in batches:
-            words, counts = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            words, counts = listed(batch.column(0)), batch.column(1).to_numpy()
             classes = np.fromiter((CLASSES if w in own else ending(w) for w in words), np.int64, len(words))
             tokens += np.bincount(classes, counts, CLASSES + 1).astype(np.int64)
             distinct += np.bincount(classes, minlength=CLASSES + 1)
@@ -216,7 +233,7 @@ def chunk_ids(v: Vocabulary, words: list[bytes]) -> np.ndarray:
     """Ids of a chunk's words, negative where they aren't in the head."""
     ids = np.fromiter(map(v.ids.get, words, repeat(-1)), np.int64, len(words))
     tail = np.nonzero(ids < 0)[0]
-    ids[tail] = [tail_id(words[k]) for k in tail.tolist()]
+    ids[tail] = tail_ids([words[k] for k in tail.tolist()])
     return ids
 
 
@@ -237,24 +254,27 @@ class Stream:
         context, self.classes, leaf, self.share, rare = v.contexts[known], v.classes[known], v.leaves[known], v.log_share[known], known >= v.frequent
         code = -1 - ids[tail]
         context[tail] = mixed((code >> 7) + (1 << 34))
+        by_word = [of[known] for of in v.of_words]
+        for kind, of in enumerate(by_word, 1):
+            of[tail] = _hashed(context[tail], kind, v.bits[0], np.ones(len(tail), bool))
         self.classes[tail], leaf[tail], rare[tail] = SINGLE + (code & 127), GROUPS - 1, True
         self.share[tail] = -v.log_rest[self.classes[tail]]  # the words' counts are added later
         starts = np.cumsum(lengths) - lengths
+        heads = [starts, np.concatenate([starts, starts[lengths > 1] + 1])]
 
         def before(values: np.ndarray, k: int, start) -> np.ndarray:
             out = np.empty_like(values)
             out[k:] = values[:-k]
-            for j in range(k):
-                out[starts[lengths > j] + j] = start
+            out[heads[k - 1]] = start
             return out
 
         one, two = (before(context, k, _START) for k in (1, 2))
         rare_one, rare_two = (before(rare, k, False) for k in (1, 2))
         near, far = (before(self.classes, k, CLASSES) for k in (1, 2))
-        b1, b2, b3 = v.bits
+        _, b2, b3 = v.bits
         group, member = self.classes // GROUPS, self.classes % GROUPS
         by_group = group.astype(np.uint64) * _GROUP
-        rows1 = [_hashed(one, 1, b1, rare_one), _hashed(two, 2, b1, rare_two), v.of_pair[near * (CLASSES + 1) + far]]
+        rows1 = [*(before(of, k, v.of_words[k - 1][-1]) for k, of in enumerate(by_word, 1)), v.of_pair[near * (CLASSES + 1) + far]]
         rows2 = [_hashed(one ^ by_group, 5, b2, rare_one), _hashed(two ^ by_group, 6, b2, rare_two), v.of_group[near * GROUPS + group]]
         shared = np.nonzero(self.classes >= SINGLE)[0]
         own = self.classes[shared]
@@ -293,14 +313,18 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"curve": None}
 
-    def chances(self, k: int, c: Choices, b: slice) -> np.ndarray:
-        """Probabilities of all choices of the k-th softmax."""
+    def shares(self, k: int, c: Choices, b: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Shares of all choices of the k-th softmax, and their sums, by which they are to be divided."""
         z = np.take(self.bias[k], c.bias[b], axis=0)
         for rows in c.rows:
             z += np.take(self.rows[k], rows[b], axis=0)
         np.exp(z, out=z)  # the weights are logarithms of bounded ratios, so nothing overflows
-        z /= (z @ np.ones(GROUPS, np.float32))[:, None]
-        return z
+        return z, z @ np.ones(GROUPS, np.float32)
+
+    def chances(self, k: int, c: Choices, b: slice) -> np.ndarray:
+        """Probabilities of all choices of the k-th softmax."""
+        z, total = self.shares(k, c, b)
+        return z / total[:, None]
 
     def log_chances(self, s: Stream) -> np.ndarray:
         """log10 probability of each token's choices."""
@@ -308,8 +332,8 @@ class Model:
         for k, c in enumerate(s.choices):
             for a in range(0, len(c.target), BATCH):
                 b = slice(a, a + BATCH)
-                p = self.chances(k, c, b)
-                chance = np.log10(p[np.arange(len(p)), c.target[b]])
+                z, total = self.shares(k, c, b)
+                chance = np.log10(z[np.arange(len(z)), c.target[b]] / total)
                 out[b if c.at is None else c.at[b]] += chance
         return out
 
@@ -319,12 +343,14 @@ class Model:
             n, half = len(c.target), sums[k].shape[1]
             g = np.empty((GROUPS, n))
             for a in range(0, n, BATCH):
-                g[:, a : a + BATCH] = self.chances(k, c, slice(a, a + BATCH)).T
+                z, total = self.shares(k, c, slice(a, a + BATCH))
+                np.divide(z.T, total, out=g[:, a : a + BATCH])
             g[c.target, np.arange(n)] -= 1
-            # Rows beyond the half, those of rare words, fall into one bin more that is left out.
-            rows, times = np.minimum(np.concatenate(c.rows), half), len(c.rows)
+            # Rows beyond the half, those of rare words, are left out.
+            kept = [np.nonzero(rows < half)[0] for rows in c.rows]
+            rows, at = np.concatenate([rows[i] for rows, i in zip(c.rows, kept)]), np.concatenate(kept)
             for j in range(GROUPS):
-                sums[k][j] += np.bincount(rows, np.tile(g[j], times), half + 1)[:half]
+                sums[k][j] += np.bincount(rows, np.take(g[j], at), half)
 
     def step(self, sums: list[np.ndarray]) -> None:
         for rows, total, curve in zip(self.rows, sums, self.curve):
@@ -350,9 +376,10 @@ def _streams(v: Vocabulary, chunk: dict, chosen: np.ndarray | None = None):
 
 
 def _chunks(batches):
+    read = {"words": lambda c: listed(c.values), "doc_ids": lambda c: c.as_py()}
     for batch in batches:
         for k in range(len(batch)):
-            yield {n: batch.column(n)[k].as_py() if n in ("words", "doc_ids") else batch.column(n)[k].as_buffer() for n in batch.schema.names if n != "counts"}
+            yield {n: read.get(n, lambda c: c.as_buffer())(batch.column(n)[k]) for n in batch.schema.names if n != "counts"}
 
 
 def _training(chunk: dict, part: int | None = None) -> np.ndarray:

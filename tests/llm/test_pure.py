@@ -342,3 +342,9 @@ def test_quality_learns():
     model = quality.train(good + bad, [1] * 60 + [0] * 60)
     score = lambda f: model.score(float((f[1] * model.odds[f[0]]).sum()) + model.bias)
     assert min(map(score, good)) > 0.7 > max(map(score, bad))
+
+
+def test_maxent_words_as_a_list():
+    words = [b"Caf\xc3\xa9s!\"", b"", b"a", b"...", b"xyzing,", b"\xff\xfe"]
+    assert maxent.listed(pa.array(words, pa.binary())) == words and maxent.listed(pa.array([], pa.binary())) == []
+    assert maxent.tail_ids(words).tolist() == [maxent.tail_id(w) for w in words] and maxent.tail_ids([]).tolist() == []
